@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-_PID = "__pid"
-_MID = "__mid"
-_LOCAL = "__local"
+_PID = "__rt_pid"
+_MID = "__rt_mid"
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -57,28 +56,28 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     w_local = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged
     for v in value_cols:
-        local = local.withColumn(f"__loc_{v}", F.sum(v).over(w_local))
+        local = local.withColumn(f"__rt_loc_{v}", F.sum(v).over(w_local))
     # totals per partition -> exclusive prefix over partitions (one row each)
-    totals = tagged.groupBy(_PID).agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
+    totals = tagged.groupBy(_PID).agg(*[F.sum(v).alias(f"__rt_tot_{v}") for v in value_cols])
     w_parts = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _PID, *[F.coalesce(F.sum(f"__tot_{v}").over(w_parts), F.lit(0)).alias(f"__off_{v}")
+        _PID, *[F.coalesce(F.sum(f"__rt_tot_{v}").over(w_parts), F.lit(0)).alias(f"__rt_off_{v}")
                 for v in value_cols])
     glob = local.join(F.broadcast(offsets), _PID)  # one row per partition: bounded
     for v in value_cols:
-        glob = glob.withColumn(f"__g_{v}", F.col(f"__off_{v}") + F.col(f"__loc_{v}"))
+        glob = glob.withColumn(f"__rt_g_{v}", F.col(f"__rt_off_{v}") + F.col(f"__rt_loc_{v}"))
     if group_cols:
         first = F.struct(F.col(_PID), F.col(_MID))
         base = glob.groupBy(*group_cols).agg(
-            *[F.min_by(F.col(f"__g_{v}") - F.col(v), first).alias(f"__base_{v}")
+            *[F.min_by(F.col(f"__rt_g_{v}") - F.col(v), first).alias(f"__rt_base_{v}")
               for v in value_cols])
         glob = glob.join(base, list(group_cols))
         for v in value_cols:
-            glob = glob.withColumn(v + out_suffix, F.col(f"__g_{v}") - F.col(f"__base_{v}"))
+            glob = glob.withColumn(v + out_suffix, F.col(f"__rt_g_{v}") - F.col(f"__rt_base_{v}"))
     else:
         for v in value_cols:
-            glob = glob.withColumn(v + out_suffix, F.col(f"__g_{v}"))
-    helper = [c for c in glob.columns if c.startswith("__")]
+            glob = glob.withColumn(v + out_suffix, F.col(f"__rt_g_{v}"))
+    helper = [c for c in glob.columns if c.startswith("__rt_")]
     return glob.drop(*helper)
 
 
@@ -86,7 +85,7 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str],
                       order_cols: Sequence[str | Column], out: str = "rank",
                       partitions: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` within groups, scalable for hot groups."""
-    one = "__one"
+    one = "__rn_one"
     ranked = running_total(df.withColumn(one, F.lit(1).cast("long")), group_cols,
                            order_cols, [one], partitions=partitions)
     return ranked.withColumnRenamed(one + "_cum", out).drop(one)
