@@ -1,8 +1,10 @@
 """A nearest-centroid probability model over dense vectors.
 
-Fitting is one partial aggregation (sum per class and dimension); the fitted
-model is K×d numbers — bounded by classes and dimensions, not by rows — and is
-shipped to executors as a literal, like any fitted Spark ML model.
+Fitting is one partial aggregation (mean per group, class and dimension); the
+fitted model is a small DataFrame — one row per model group holding the sorted
+class list and the K×d centroid matrix — bounded by classes × dimensions, not
+by rows.  Scoring joins it to the rows by broadcast, like shipping any fitted
+model to executors.
 """
 
 from __future__ import annotations
@@ -15,38 +17,53 @@ from pyspark.sql import functions as F
 MAX_MODEL_CELLS = 5_000_000
 
 
-def fit_centroids(df: DataFrame, vec: str, label: str) -> tuple[list[str], list[list[float]]]:
-    """Per-class mean vectors, classes sorted.  Rows -> (class, dim) sums via a
-    map-side combined aggregation; only the K×d result reaches the driver."""
-    cells = (df.select(F.col(label).cast("string").alias("__c"), F.posexplode(vec).alias("__i", "__x"))
-             .groupBy("__c", "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m")))
-    n_cells = cells.count()
-    if n_cells > MAX_MODEL_CELLS:
-        raise ValueError(f"centroid model of {n_cells} cells is too large to ship")
-    rows = cells.collect()
-    classes = sorted({r["__c"] for r in rows})
-    dim = 1 + max(r["__i"] for r in rows)
-    mat = {c: [0.0] * dim for c in classes}
-    for r in rows:
-        mat[r["__c"]][r["__i"]] = float(r["__m"])
-    return classes, [mat[c] for c in classes]
+def fit_centroids(df: DataFrame, vec: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Model table ``by…, classes array<string>, cents array<array<double>>,
+    norms array<double>`` (classes sorted, dimensions in order)."""
+    g = list(by)
+    cells = (df.select(*g, F.col(label).cast("string").alias("__c"),
+                       F.posexplode(vec).alias("__i", "__x"))
+             .groupBy(*g, "__c", "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m")))
+    per_class = cells.groupBy(*g, "__c").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("__v"))
+    per_class = per_class.withColumn("__norm", F.sqrt(F.aggregate(
+        F.transform("__v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)))
+    agg = per_class.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("__c", "__v", "__norm"))).alias("__s"))
+    return agg.select(*g, F.transform("__s", lambda s: s["__c"]).alias("classes"),
+                      F.transform("__s", lambda s: s["__v"]).alias("cents"),
+                      F.transform("__s", lambda s: s["__norm"]).alias("norms"))
 
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_logits(vec: str, centroids: Sequence[Sequence[float]], temperature: float = 10.0) -> Column:
-    """``temperature · cos(vec, centroid_k)`` for every class k."""
+def cosine_logits(vec: str, temperature: float = 10.0) -> Column:
+    """``temperature · cos(vec, centroid_k)`` for every class k of the joined
+    model columns ``cents`` / ``norms``."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     vnorm = F.sqrt(_dot(v, v))
-    cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-    norms = F.array(*[F.lit(float(sum(x * x for x in c)) ** 0.5) for c in centroids])
-    return F.transform(cents, lambda c, i: F.lit(float(temperature)) * _dot(v, c)
-                       / (vnorm * F.element_at(norms, i + 1)))
+    return F.transform("cents", lambda c, i: F.lit(float(temperature)) * _dot(v, c)
+                       / (vnorm * F.element_at("norms", i + 1)))
 
 
 def softmax(logits: Column) -> Column:
     ex = F.transform(logits, lambda z: F.exp(z))
     tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
     return F.transform(ex, lambda e: e / tot)
+
+
+def score(rows: DataFrame, model: DataFrame, vec: str, by: Sequence[str] = (),
+          temperature: float = 10.0) -> DataFrame:
+    """Adds ``p`` (class probabilities) and ``classes`` to ``rows``.  The model
+    table is bounded (checked) and broadcast."""
+    n = model.select(F.sum(F.size("cents") * F.size(F.element_at("cents", 1)))).first()[0] or 0
+    if n > MAX_MODEL_CELLS:
+        raise ValueError(f"centroid model of {n} cells is too large to broadcast")
+    g = list(by)
+    if g:
+        j = rows.join(F.broadcast(model), g)
+    else:
+        j = rows.withColumn("__k", F.lit(0)).join(F.broadcast(model.withColumn("__k", F.lit(0))), "__k") \
+            .drop("__k")
+    return j.withColumn("p", softmax(cosine_logits(vec, temperature))).drop("cents", "norms")

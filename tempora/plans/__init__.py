@@ -2,4 +2,4 @@
 an equivalent DuckDB SQL oracle (where SQL can express it)."""
 
 from .catalog import ORACLE, REGISTRY, register  # noqa: F401
-from . import audit_plans, split_plans, metric_plans, feature_plans, monitor_plans  # noqa: F401,E402
+from . import audit_plans, split_plans, metric_plans, openset_plans, feature_plans, monitor_plans  # noqa: F401,E402

@@ -168,14 +168,13 @@ scored AS (SELECT *, (y_true = y_pred) AS correct FROM sc)
 def scored(spark, d):
     """``vec_id, y_true, y_pred, max_prob, margin, correct`` from centroid softmax."""
     emb = table(spark, d, "embeddings")
-    classes, cents = scoring.fit_centroids(emb, "embedding", "label")
-    probs = scoring.softmax(scoring.cosine_logits("embedding", cents))
-    out = emb.select("vec_id", F.col("label").cast("string").alias("y_true"), probs.alias("p"))
-    out = out.select("vec_id", "y_true", *metrics.top_scores("p"))
-    cls = F.array(*[F.lit(c) for c in classes])
-    return out.select("vec_id", "y_true", F.element_at(cls, F.col("pred_idx") + 1).alias("y_pred"),
-                      "max_prob", "margin", (F.col("y_true") == F.element_at(cls, F.col("pred_idx") + 1))
-                      .alias("correct"))
+    model = scoring.fit_centroids(emb, "embedding", "label")
+    out = scoring.score(emb.select("vec_id", "label", "embedding"), model, "embedding")
+    out = out.select("vec_id", F.col("label").cast("string").alias("y_true"), "classes",
+                     *metrics.top_scores("p"))
+    pred = F.element_at("classes", F.col("pred_idx") + 1)
+    return out.select("vec_id", "y_true", pred.alias("y_pred"), "max_prob", "margin",
+                      (F.col("y_true") == pred).alias("correct"))
 
 
 @register("scores_top", EMB_SQL + """
