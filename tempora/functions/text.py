@@ -104,25 +104,25 @@ def words(x: str | Column) -> Column:
 
 
 def ngrams(tokens: str | Column, lo: int = 1, hi: int = 2) -> Column:
-    """Contiguous n-grams (space joined) for n in [lo, hi], unigrams first."""
+    """Contiguous n-grams (space joined) for n in [lo, hi], unigrams first.
+
+    Built from shifted slices combined with ``zip_with`` so the token array is
+    evaluated once per n (a lambda indexing into ``tokens`` would re-evaluate
+    the tokeniser for every position)."""
     t = _c(tokens)
     parts = []
     for n in range(lo, hi + 1):
         if n == 1:
             parts.append(t)
             continue
-        idx = F.sequence(F.lit(1), F.size(t) - n + 1)
-        grams = F.transform(idx, _gram_of(t, n))
-        parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
+        length = F.greatest(F.size(t) - n + 1, F.lit(0))
+        g = F.slice(t, 1, length)
+        for k in range(1, n):
+            g = F.zip_with(g, F.slice(t, k + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
+        parts.append(g)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _gram_of(t: Column, n: int):
-    def gram(i: Column) -> Column:
-        return F.array_join(F.slice(t, i, n), " ")
-    return gram
-
-
 def round_half_even(x: Column, places: int) -> Column:
     """Python's ``round`` (banker's rounding on the decimal value)."""
     return F.bround(x, places)

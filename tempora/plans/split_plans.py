@@ -31,8 +31,10 @@ def apportion_sql(src: str, weight: str, total: str, out: str) -> str:
       FROM (SELECT *, sum({weight}) OVER () AS sw, {total} AS tot FROM {src}) s))"""
 
 
-RANDOM_SQL = f"""
-WITH smp AS ({SAMPLES_SQL}),
+def random_sql(samples_sql: str) -> str:
+    """Exact-quota stratified random split over ``samples_sql`` (sample_id, label)."""
+    return f"""
+WITH smp AS ({samples_sql}),
 c AS (SELECT label, count(*) AS n_c FROM smp GROUP BY label),
 c1 AS (SELECT label, n_c, q_test FROM ({apportion_sql(
     "c", "n_c", "CAST(ceil(CAST(sum(n_c) OVER () AS DOUBLE) * 0.19999999999999996) AS BIGINT)",
@@ -53,6 +55,9 @@ FROM ranked r JOIN c3 USING (label)
 """
 
 
+RANDOM_SQL = random_sql(SAMPLES_SQL)
+
+
 def chrono_sql(partition: str, min_val: int) -> str:
     val = "floor(CAST(sp AS DOUBLE) * 0.1)"
     if min_val:
