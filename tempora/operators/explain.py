@@ -32,6 +32,7 @@ def casebook(cases: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def manifest(cases: DataFrame, tokens: DataFrame) -> DataFrame:
     """Runs included, cases exported, token rows exported."""
-    a = cases.agg(F.count_distinct("run_name").alias("runs_included"), F.count(F.lit(1)).alias("cases_exported"))
-    b = tokens.agg(F.count(F.lit(1)).alias("token_rows_exported"))
-    return a.withColumn("__k", F.lit(0)).join(b.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    u = cases.select("run_name", F.lit(True).alias("__case")).unionByName(
+        tokens.select(F.lit(None).cast("string").alias("run_name"), F.lit(False).alias("__case")))
+    return u.agg(F.count_distinct("run_name").alias("runs_included"), F.count_if("__case").alias("cases_exported"),
+                 F.count_if(~F.col("__case")).alias("token_rows_exported"))

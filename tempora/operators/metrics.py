@@ -150,26 +150,24 @@ def ece_bin(p: str | Column, n_bins: int = 10) -> Column:
 
 def ece(df: DataFrame, conf: str = "max_prob", correct: str = "correct",
         by: Sequence[str] = (), n_bins: int = 10) -> DataFrame:
-    """Expected calibration error per group: Σ_b n_b/n · |acc_b − conf_b|."""
+    """Expected calibration error per group: Σ_b n_b/n · |acc_b − conf_b|; rows
+    outside every bin (p <= 0) count in n only.  Also returns n and accuracy.
+    Two aggregations (rows -> bins -> group), no join."""
     b = df.withColumn("__bin", ece_bin(conf, n_bins))
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else \
-        df.agg(F.count(F.lit(1)).alias("__n"))
-    per_bin = b.where(F.col("__bin").isNotNull()).groupBy(*by, "__bin").agg(
-        F.count(F.lit(1)).alias("nb"), F.avg(F.col(correct).cast("double")).alias("acc"),
-        F.avg(conf).alias("cf"))
-    if by:
-        joined = per_bin.join(n, list(by))
-    else:
-        joined = per_bin.withColumn("__k", F.lit(0)).join(n.withColumn("__k", F.lit(0)), "__k")
-    return joined.groupBy(*by).agg(
-        F.sum(F.col("nb") / F.col("__n") * F.abs(F.col("acc") - F.col("cf"))).alias("ece"))
+    per_bin = b.groupBy(*by, "__bin").agg(
+        F.count(F.lit(1)).alias("nb"), F.sum(F.col(correct).cast("double")).alias("sc"),
+        F.avg(F.col(correct).cast("double")).alias("acc"), F.avg(conf).alias("cf"))
+    return per_bin.groupBy(*by).agg(
+        (F.sum(F.when(F.col("__bin").isNotNull(), F.col("nb") * F.abs(F.col("acc") - F.col("cf"))))
+         / F.sum("nb")).alias("ece"),
+        F.sum("nb").alias("n"), (F.sum("sc") / F.sum("nb")).alias("accuracy"))
 
 
 def per_class_ece(df: DataFrame, pred: str = "y_pred", conf: str = "max_prob",
                   correct: str = "correct", n_bins: int = 10) -> DataFrame:
     """Per predicted class: n_predictions, ece (bins inside the class),
     mean_confidence, empirical_accuracy.  Classes never predicted are absent."""
-    e = ece(df, conf, correct, by=[pred], n_bins=n_bins)
+    e = ece(df, conf, correct, by=[pred], n_bins=n_bins).select(pred, "ece")
     s = df.groupBy(pred).agg(F.count(F.lit(1)).alias("n_predictions"),
                              F.avg(conf).alias("mean_confidence"),
                              F.avg(F.col(correct).cast("double")).alias("empirical_accuracy"))
@@ -258,19 +256,26 @@ def exact_quantile(df: DataFrame, value: str, q: float | Column, by: Sequence[st
     """Linear-interpolated quantile (NumPy's default) per group, from exact ranks
     (a range sort) rather than an in-memory value list per group."""
     keyed = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if not by:
-        keyed = keyed.withColumn("__all", F.lit(0))
-    g = list(by) or ["__all"]
-    ranked = row_number_within(keyed, g, ["__v"], out="__rk")
-    n = keyed.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+    g = list(by)
     qc = q if isinstance(q, Column) else F.lit(float(q))
-    pos = n.withColumn("__h", (F.col("__n") - 1).cast("double") * qc) \
-        .withColumn("__lo", F.floor("__h").cast("long") + 1) \
-        .withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n")))
-    picked = ranked.join(pos, g).where((F.col("__rk") == F.col("__lo")) | (F.col("__rk") == F.col("__hi")))
+    ranked = row_number_within(keyed, g, ["__v"], out="__rk")
+    if g:
+        n = keyed.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+        pos = n.withColumn("__h", (F.col("__n") - 1).cast("double") * qc)
+        pos = pos.withColumn("__lo", F.floor("__h").cast("long") + 1) \
+            .withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n")))
+        picked = ranked.join(pos, g)
+    else:  # one group: its size is a number, the two ranks are literals
+        n = keyed.count()
+        h = (n - 1) * float(q) if not isinstance(q, Column) else None
+        if h is None:
+            raise ValueError("a Column quantile needs group columns")
+        lo = int(h // 1) + 1
+        picked = ranked.withColumn("__h", F.lit(h)).withColumn("__lo", F.lit(lo)) \
+            .withColumn("__hi", F.lit(min(lo + 1, n)))
+    picked = picked.where((F.col("__rk") == F.col("__lo")) | (F.col("__rk") == F.col("__hi")))
     agg = picked.groupBy(*g).agg(
         F.max(F.when(F.col("__rk") == F.col("__lo"), F.col("__v"))).alias("__a"),
         F.max(F.when(F.col("__rk") == F.col("__hi"), F.col("__v"))).alias("__b"),
         F.first(F.col("__h") - (F.col("__lo") - 1)).alias("__t"))
-    res = agg.select(*g, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__t")).alias(out))
-    return res.drop("__all") if not by else res
+    return agg.select(*g, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__t")).alias(out))

@@ -105,17 +105,17 @@ def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str |
     straddle a cut are ranked exactly (scalably, see ``row_number_within``).
     """
     g = list(group_cols)
-    if not g:  # one global group: a constant key keeps every join an equi-join
-        df = df.withColumn("__all", F.lit(0))
-        cuts = cuts.withColumn("__all", F.lit(0))
-        g = ["__all"]
     coarse_col = coarse if isinstance(coarse, Column) else F.col(coarse)
     base = df.withColumn("__coarse", coarse_col)
     hist = base.groupBy(*g, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
     # one row per (group, coarse value): bounded by classes x distinct coarse values
     w = Window.partitionBy(*g).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    hist = hist.join(cuts.select(*g, F.col("cuts").alias("__cuts")), g)
+    if g:
+        hist = hist.join(cuts.select(*g, F.col("cuts").alias("__cuts")), g)
+    else:  # one global group: its single cuts row is a literal, not a join
+        row = cuts.select("cuts").first()
+        hist = hist.withColumn("__cuts", F.array(*[F.lit(int(c)).cast("long") for c in row["cuts"]]))
     n_labels = len(labels)
 
     def label_of(rank: Column) -> Column:
@@ -136,4 +136,4 @@ def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str |
     split = split.withColumn("__lab", label_of(F.col("__before") + F.col("__r")))
     out_df = whole.unionByName(split.drop("__r"))
     out_df = out_df.withColumn(out, F.element_at(label_arr, (F.col("__lab") + 1).cast("int")))
-    return out_df.drop("__coarse", "__before", "__cuts", "__lab", "__all")
+    return out_df.drop("__coarse", "__before", "__cuts", "__lab")

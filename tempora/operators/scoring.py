@@ -63,7 +63,9 @@ def score(rows: DataFrame, model: DataFrame, vec: str, by: Sequence[str] = (),
     g = list(by)
     if g:
         j = rows.join(F.broadcast(model), g)
-    else:
-        j = rows.withColumn("__k", F.lit(0)).join(F.broadcast(model.withColumn("__k", F.lit(0))), "__k") \
-            .drop("__k")
+    else:  # a single model: its row becomes literal columns
+        m = model.first()
+        j = rows.withColumn("cents", F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in m["cents"]])) \
+            .withColumn("norms", F.array(*[F.lit(float(x)) for x in m["norms"]])) \
+            .withColumn("classes", F.array(*[F.lit(c) for c in m["classes"]]))
     return j.withColumn("p", softmax(cosine_logits(vec, temperature))).drop("cents", "norms")

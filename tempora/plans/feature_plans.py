@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import drift, features, splits
+from ..session import cut_lineage
 from .catalog import register, table
 from .metric_plans import r6
 from .split_plans import chrono_sql, random_sql, samples
@@ -22,7 +23,9 @@ def doc_split(spark, d):
     docs = table(spark, d, "documents")
     sp = splits.random_stratified(docs.select(F.col("doc_id").alias("sample_id"),
                                               F.col("lang").alias("label")), "sample_id", "label")
-    return docs.join(sp.select(F.col("sample_id").alias("doc_id"), "part"), "doc_id")
+    # the assignment is reused by several branches: materialise it once
+    sp = cut_lineage(sp.select(F.col("sample_id").alias("doc_id"), "part"))
+    return docs.join(sp, "doc_id")
 
 
 def doc_terms(spark, d):
@@ -49,7 +52,7 @@ grams AS (SELECT doc_id, part, unnest(w) AS term FROM docs
           SELECT doc_id, part, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM docs),
 tc AS (SELECT doc_id, any_value(part) AS part, term, count(*) AS tf FROM grams GROUP BY doc_id, term),
 ntrain AS (SELECT count(*) AS n FROM docs WHERE part = 'train'),
-v0 AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tc WHERE part = 'train' GROUP BY term
+v0 AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tc WHERE part = 'train' GROUP BY term
        HAVING count(*) >= 2),
 v1 AS (SELECT * FROM v0 ORDER BY cf DESC, term LIMIT 50000),
 vocab AS (SELECT term, df, cf, ln((1 + n) / (1 + df)) + 1 AS idf,
@@ -143,7 +146,7 @@ def order_features(spark, d):
         F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))).alias("avg_discount_returned"),
         F.avg("l_tax").alias("mean_tax"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price_per_qty"))
-    smp = splits.global_chronological(samples(spark, d), "sample_id", "date")
+    smp = cut_lineage(splits.global_chronological(samples(spark, d), "sample_id", "date"))
     j = smp.join(per, smp.sample_id == per.l_orderkey, "left").drop("l_orderkey")
     return j.fillna(0.0, subset=COUNT_COLS)
 

@@ -46,7 +46,8 @@ runs AS (SELECT 'a' AS run, y_true, pred_a AS y_pred FROM p
          UNION ALL SELECT 'b', y_true, pred_b FROM p),
 roles AS (SELECT run, y_true AS class, 1 AS t, (y_true = y_pred)::INT AS tp, 0 AS p FROM runs
           UNION ALL SELECT run, y_pred, 0, 0, 1 FROM runs),
-cc AS (SELECT run, class, sum(t) AS support, sum(tp) AS tp, sum(p) AS n_pred FROM roles GROUP BY ALL),
+cc AS (SELECT run, class, sum(t)::BIGINT AS support, sum(tp)::BIGINT AS tp, sum(p)::BIGINT AS n_pred
+         FROM roles GROUP BY ALL),
 pr AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM cc),
 prf AS (SELECT *, CASE WHEN precision + recall > 0
@@ -69,7 +70,7 @@ def r6(df):
 @register("metrics_summary", RUNS_SQL + """
 SELECT run, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
        round(coalesce(sum(f1 * support) / nullif(sum(support), 0), 0), 6) AS weighted_f1,
-       sum(support) AS n, count(*) AS n_classes
+       sum(support)::BIGINT AS n, count(*) AS n_classes
 FROM prf GROUP BY run
 """)
 def metrics_summary(spark, d):
@@ -90,7 +91,7 @@ def metrics_per_class(spark, d):
 SELECT run, round(sum(CASE WHEN class IN {tuple(PRIORITIES + ['0-UNUSED'])} THEN f1 ELSE 0 END) / 6.0, 6)
        AS macro_f1, round(sum(tp) / sum(support), 6) AS accuracy,
        round(coalesce(sum(f1 * support) / nullif(sum(support), 0), 0), 6) AS weighted_f1,
-       sum(support) AS n, CAST(6 AS BIGINT) AS n_classes
+       sum(support)::BIGINT AS n, CAST(6 AS BIGINT) AS n_classes
 FROM prf GROUP BY run
 """)
 def macro_f1_fixed(spark, d):
@@ -113,7 +114,7 @@ def confusion_matrix(spark, d):
 
 @register("classification_report", RUNS_SQL + f"""
 , one AS (SELECT * FROM prf WHERE run = 'a'),
-tot AS (SELECT sum(support) AS n, sum(tp) / sum(support) AS acc,
+tot AS (SELECT sum(support)::BIGINT AS n, sum(tp) / sum(support) AS acc,
                sum(precision) / 5 AS mp, sum(recall) / 5 AS mr, sum(f1) / 5 AS mf,
                sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
                sum(f1 * support) / sum(support) AS wf FROM one)
@@ -136,7 +137,7 @@ bc AS (SELECT count_if(pred_a = y_true AND pred_b <> y_true) AS b,
 terms AS (SELECT b, c, b + c AS n, i FROM bc, range(0, CAST(least(b, c) + 1 AS BIGINT)) t(i)),
 pv AS (SELECT any_value(b) AS b, any_value(c) AS c, any_value(n) AS n,
               sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS s FROM terms)
-SELECT b, c, n AS n_discordant,
+SELECT b::BIGINT AS b, c::BIGINT AS c, n::BIGINT AS n_discordant,
        round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * s) END, 6) AS p_value FROM pv
 """)
 def mcnemar(spark, d):
@@ -202,10 +203,7 @@ SELECT round(sum(nb / (SELECT count(*) FROM scored) * abs(acc - cf)), 6) AS ece,
 """)
 def calibration_ece(spark, d):
     """AG12: expected calibration error (10 bins on max probability)."""
-    s = scored(spark, d)
-    e = metrics.ece(s)
-    acc = s.agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    return r6(e.withColumn("__k", F.lit(0)).join(acc.withColumn("__k", F.lit(0)), "__k").drop("__k"))
+    return r6(metrics.ece(scored(spark, d)))
 
 
 @register("calibration_per_class", EMB_SQL + f"""
@@ -250,7 +248,7 @@ pq AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS pr,
 f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM pq)
 SELECT method, threshold, round(sum(support) / (SELECT count(*) FROM scored), 6) AS coverage,
        round(sum(tp) / sum(support), 6) AS selective_accuracy, round(avg(f1), 6) AS selective_macro_f1,
-       sum(support) AS n_covered, count(*) AS n_classes
+       sum(support)::BIGINT AS n_covered, count(*) AS n_classes
 FROM f GROUP BY method, threshold
 """
 

@@ -104,7 +104,7 @@ def retrain_triggers(spark, d):
 @register("retrain_episodes", WF_SQL + """
 , ep AS (SELECT *, sum(retrain_recommended::INT) OVER (ORDER BY boundary ROWS UNBOUNDED PRECEDING) AS episode
          FROM trig)
-SELECT episode, strftime(min(boundary), '%Y-%m-%d') AS start_boundary,
+SELECT episode::BIGINT AS episode, strftime(min(boundary), '%Y-%m-%d') AS start_boundary,
        strftime(max(boundary), '%Y-%m-%d') AS end_boundary,
        strftime(min(test_start), '%Y-%m-%d') AS start_test_start,
        strftime(max(test_end), '%Y-%m-%d') AS end_test_end,
@@ -121,8 +121,8 @@ def retrain_episodes(spark, d):
 
 
 @register("trigger_summary", WF_SQL + """
-SELECT count(*) AS n_windows, count_if(trigger) AS n_trigger_windows,
-       count_if(retrain_recommended) AS n_trigger_episodes,
+SELECT count(*) AS n_windows, count_if(trigger)::BIGINT AS n_trigger_windows,
+       count_if(retrain_recommended)::BIGINT AS n_trigger_episodes,
        round(min(api_macro_f1), 4) AS min_macro_f1, round(max(api_macro_f1), 4) AS max_macro_f1,
        round(avg(api_macro_f1), 4) AS mean_macro_f1,
        coalesce(string_agg(CASE WHEN retrain_recommended THEN strftime(boundary, '%Y-%m-%d') END, ','

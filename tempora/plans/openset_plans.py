@@ -150,9 +150,8 @@ def openset_eval_df(spark, d):
     test = long.where(F.col("part").isin("known_test", "unknown_test")).withColumn(
         "role", F.when(F.col("part") == "unknown_test", "unknown").otherwise("known"))
     # fixed open-set label list: the known classes plus "unknown" = all classes
-    n_lab = _samples(spark, d).agg(F.count_distinct("label").alias("n_labels"))
-    n_lab = thr.select("heldout", "method", F.lit(0).alias("__k")).join(
-        n_lab.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    k = len(splits.class_list(_samples(spark, d), "label"))
+    n_lab = thr.select("heldout", "method", F.lit(k).alias("n_labels"))
     return openset.evaluate(test, thr, n_lab)
 
 
@@ -161,7 +160,8 @@ SELECT heldout, method, round(closed_known_accuracy, 6) AS closed_known_accuracy
        round(closed_known_macro_f1, 6) AS closed_known_macro_f1,
        round(open_set_accuracy, 6) AS open_set_accuracy, round(open_set_macro_f1, 6) AS open_set_macro_f1,
        round(known_acceptance_rate, 6) AS known_acceptance_rate,
-       round(unknown_rejection_rate, 6) AS unknown_rejection_rate, n_known_test, n_unknown_test,
+       round(unknown_rejection_rate, 6) AS unknown_rejection_rate, n_known_test::BIGINT AS n_known_test,
+       n_unknown_test::BIGINT AS n_unknown_test,
        round(unknown_detection_auroc, 6) AS unknown_detection_auroc,
        round(unknown_detection_auprc, 6) AS unknown_detection_auprc
 FROM ev2

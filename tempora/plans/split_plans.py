@@ -70,7 +70,7 @@ ranked AS (SELECT sample_id, label, date,
                   count(*) OVER ({part_by}) AS n FROM smp),
 cut AS (SELECT *, CAST(floor(CAST(n AS DOUBLE) * 0.8) AS BIGINT) AS sp FROM ranked),
 cut2 AS (SELECT *, greatest(sp - CAST({val} AS BIGINT), 0) AS tr FROM cut)
-SELECT sample_id, label, date,
+SELECT sample_id, label, strftime(date, '%Y-%m-%d') AS date,
        CASE WHEN rk <= tr THEN 'train' WHEN rk <= sp THEN 'val' ELSE 'test' END AS part
 FROM cut2
 """
@@ -85,7 +85,8 @@ def split_random_stratified(spark, d):
 @register("split_global_chrono", chrono_sql("", 0) + "")
 def split_global_chrono(spark, d):
     """Global chronological split, ties broken by id."""
-    return splits.global_chronological(samples(spark, d), "sample_id", "date")
+    out = splits.global_chronological(samples(spark, d), "sample_id", "date")
+    return out.select("sample_id", "label", F.date_format("date", "yyyy-MM-dd").alias("date"), "part")
 
 
 @register("split_global_boundary", """
@@ -107,7 +108,8 @@ def split_global_boundary(spark, d):
 @register("split_per_class_chrono", chrono_sql("label", 1))
 def split_per_class_chrono(spark, d):
     """Per-class chronological split with val = max(1, int(0.1·train_all))."""
-    return splits.per_class_chronological(samples(spark, d), "sample_id", "label", "date")
+    out = splits.per_class_chronological(samples(spark, d), "sample_id", "label", "date")
+    return out.select("sample_id", "label", F.date_format("date", "yyyy-MM-dd").alias("date"), "part")
 
 
 @register("split_sizes", f"""
