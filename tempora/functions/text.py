@@ -98,9 +98,11 @@ def file_tokens(x: str | Column, terms: Iterable[str] | None = config.CLASS_NAME
 
 
 def words(x: str | Column) -> Column:
-    """Lower-cased words of two or more word characters (Unicode aware)."""
+    """Lower-cased words: maximal runs of two or more Unicode letters, marks,
+    digits or underscores (the vectorizers' ``\\b\\w\\w+\\b`` rule written as a
+    character-class run, which needs no word-boundary look-around)."""
     return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))),
-                                F.lit(r"(?U)\b\w\w+\b"), 0)
+                                F.lit(r"[\p{L}\p{M}\p{N}_]{2,}"), 0)
 
 
 def ngrams(tokens: str | Column, lo: int = 1, hi: int = 2) -> Column:

@@ -54,14 +54,15 @@ def scan(values: DataFrame, vocab: Mapping[str, Sequence[str]] | DataFrame,
             for mt, terms in vocab.items() if terms
         ]
         hits = segs.select(id_col, field_col, value_col,
-                           F.explode(F.concat(*per_type)).alias("__h"))
+                           F.explode_outer(F.concat(*per_type)).alias("__h")).where(F.col("__h").isNotNull())
         hits = hits.select(id_col, field_col, value_col, "__h.match_type", "__h.matched_term")
     else:
         vdf = vocab if isinstance(vocab, DataFrame) else vocabulary_frame(values.sparkSession, vocab)
         n_terms = vdf.count()
         if n_terms > BROADCAST_VOCAB_LIMIT:
             raise ValueError(f"vocabulary of {n_terms} terms is too large to broadcast")
-        seg_rows = segs.select(id_col, field_col, value_col, F.explode("__segs").alias("term"))
+        seg_rows = segs.select(id_col, field_col, value_col, F.explode_outer("__segs").alias("term")) \
+            .where(F.col("term").isNotNull())
         hits = seg_rows.join(F.broadcast(vdf), "term").select(
             id_col, field_col, value_col, "match_type", F.col("term").alias("matched_term"))
     return hits.withColumn(value_col, F.substring(value_col, 1, value_chars))
@@ -70,7 +71,8 @@ def scan(values: DataFrame, vocab: Mapping[str, Sequence[str]] | DataFrame,
 def report_values(reports: DataFrame, id_col: str = "sample_id", report_col: str = "report",
                   fields: Sequence[str] = config.AUDIT_FIELDS) -> DataFrame:
     """Explode the (field, value) string pairs of parsed reports."""
-    return reports.select(id_col, F.explode(report_strings(report_col, fields)).alias("__p")) \
+    return reports.select(id_col, F.explode_outer(report_strings(report_col, fields)).alias("__p")) \
+        .where(F.col("__p").isNotNull()) \
         .select(id_col, F.col("__p.field").alias("field"), F.col("__p.value").alias("value"))
 
 
@@ -98,7 +100,9 @@ def summarise(hits: DataFrame, scanned: DataFrame, id_col: str = "sample_id") ->
                    F.lit(0.0)).alias("hit_rate"))
 
 
-def by_term(hits: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Hits and distinct flagged samples per (match_type, matched_term)."""
-    return hits.groupBy("match_type", "matched_term").agg(
+def by_term(hits: DataFrame, id_col: str = "sample_id", ordered: bool = False) -> DataFrame:
+    """Hits and distinct flagged samples per (match_type, matched_term); with
+    ``ordered`` most hits first (ties by type and term) for reports."""
+    out = hits.groupBy("match_type", "matched_term").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count_distinct(id_col).alias("n_samples"))
+    return out.orderBy(F.desc("n_hits"), "match_type", "matched_term") if ordered else out

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# Groups up to this many rows are ranked with a plain window (one task holds at
+# most this many rows); larger groups take the range-sort path.
+SMALL_GROUP_ROWS = 2_000_000
+
 _PID = "__rt_pid"
 _MID = "__rt_mid"
 
@@ -39,16 +43,32 @@ def _tag_sorted(df: DataFrame, keys: list[Column], partitions: int | None) -> Da
     return cut_lineage(tagged)
 
 
+def _largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    if not group_cols:
+        return df.count()
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
 def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                   value_cols: Sequence[str], out_suffix: str = "_cum",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` within ``group_cols`` in the
     order ``order_cols`` (which must be a total order inside a group).
 
     Equivalent to ``sum(v) over (partition by g order by k rows between
-    unbounded preceding and current row)`` but scalable for hot groups.
+    unbounded preceding and current row)``.  When the largest group is within
+    ``small_limit`` rows (checked with one aggregation) that window is used as is;
+    beyond it the range-sort path keeps every task bounded.
     Adds ``<v><out_suffix>`` columns.
     """
+    limit = SMALL_GROUP_ROWS if small_limit is None else small_limit
+    if limit > 0 and _largest_group(df, group_cols) <= limit:
+        w = Window.partitionBy(*group_cols).orderBy(*_cols(list(order_cols))) \
+            .rowsBetween(Window.unboundedPreceding, 0)
+        out = df
+        for v in value_cols:
+            out = out.withColumn(v + out_suffix, F.sum(v).over(w))
+        return out
     keys = _cols(list(group_cols)) + _cols(list(order_cols))
     tagged = _tag_sorted(df, keys, partitions)
     # position inside the partition, then a running sum inside the partition
@@ -83,17 +103,18 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 
 def row_number_within(df: DataFrame, group_cols: Sequence[str],
                       order_cols: Sequence[str | Column], out: str = "rank",
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` within groups, scalable for hot groups."""
     one = "__rn_one"
     ranked = running_total(df.withColumn(one, F.lit(1).cast("long")), group_cols,
-                           order_cols, [one], partitions=partitions)
+                           order_cols, [one], partitions=partitions, small_limit=small_limit)
     return ranked.withColumnRenamed(one + "_cum", out).drop(one)
 
 
 def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str | Column,
                         fine_cols: Sequence[str | Column], cuts: DataFrame,
-                        labels: Sequence[str], out: str = "part") -> DataFrame:
+                        labels: Sequence[str], out: str = "part",
+                        small_limit: int | None = None) -> DataFrame:
     """Label rows by their rank inside a group without ranking every row.
 
     ``cuts`` holds ``group_cols`` plus ``cuts: array<bigint>`` — non-decreasing
@@ -132,7 +153,8 @@ def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str |
     label_arr = F.array(*[F.lit(x) for x in labels])
     whole = joined.where(F.col("__lab").isNotNull())
     split = joined.where(F.col("__lab").isNull())
-    split = row_number_within(split, [*g, "__coarse"], list(fine_cols), out="__r")
+    split = row_number_within(split, [*g, "__coarse"], list(fine_cols), out="__r",
+                              small_limit=small_limit)
     split = split.withColumn("__lab", label_of(F.col("__before") + F.col("__r")))
     out_df = whole.unionByName(split.drop("__r"))
     out_df = out_df.withColumn(out, F.element_at(label_arr, (F.col("__lab") + 1).cast("int")))

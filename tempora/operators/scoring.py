@@ -57,14 +57,16 @@ def score(rows: DataFrame, model: DataFrame, vec: str, by: Sequence[str] = (),
           temperature: float = 10.0) -> DataFrame:
     """Adds ``p`` (class probabilities) and ``classes`` to ``rows``.  The model
     table is bounded (checked) and broadcast."""
-    n = model.select(F.sum(F.size("cents") * F.size(F.element_at("cents", 1)))).first()[0] or 0
-    if n > MAX_MODEL_CELLS:
-        raise ValueError(f"centroid model of {n} cells is too large to broadcast")
     g = list(by)
     if g:
+        n = model.select(F.sum(F.size("cents") * F.size(F.element_at("cents", 1)))).first()[0] or 0
+        if n > MAX_MODEL_CELLS:
+            raise ValueError(f"centroid model of {n} cells is too large to broadcast")
         j = rows.join(F.broadcast(model), g)
     else:  # a single model: its row becomes literal columns
         m = model.first()
+        if len(m["cents"]) * len(m["cents"][0]) > MAX_MODEL_CELLS:
+            raise ValueError("centroid model too large to ship")
         j = rows.withColumn("cents", F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in m["cents"]])) \
             .withColumn("norms", F.array(*[F.lit(float(x)) for x in m["norms"]])) \
             .withColumn("classes", F.array(*[F.lit(c) for c in m["classes"]]))

@@ -83,6 +83,30 @@ def reconcile_counts(spark, d):
                                 id_col="doc_id")
 
 
+@register("ingest_log", """
+SELECT count(*) AS n_labels, strftime(min(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS date_min,
+       strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS date_max,
+       count(DISTINCT o_orderpriority) AS n_classes,
+       array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS families
+FROM orders
+""")
+def ingest_log(spark, d):
+    """AG1: label rows, date range and sorted class list (orders as labels)."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"),
+                                         F.to_date("o_orderdate").alias("date"))
+    out = rec.ingest_log(o)
+    return out.withColumn("date_min", F.date_format("date_min", "yyyy-MM-dd")) \
+        .withColumn("date_max", F.date_format("date_max", "yyyy-MM-dd"))
+
+
+@register("class_counts", """
+SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL
+""")
+def class_counts(spark, d):
+    """AG1: rows per class."""
+    return rec.class_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("label")))
+
+
 @register("reconcile_flags", """
 SELECT l.doc_id, l.quality, l.toxic,
        (r.doc_id IS NOT NULL) AS has_report

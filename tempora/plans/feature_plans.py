@@ -31,8 +31,9 @@ def doc_split(spark, d):
 def doc_terms(spark, d):
     """``doc_id, part, term, tf`` over unigrams and bigrams of whole texts."""
     docs = doc_split(spark, d).select("doc_id", "part", text.ngrams(text.words("text"), 1, 2).alias("t"))
-    tc = features.term_counts(docs, "doc_id", "t")
-    return docs.select("doc_id", "part"), tc.join(docs.select("doc_id", "part"), "doc_id")
+    tc = features.term_counts(docs, "doc_id", "t").join(docs.select("doc_id", "part"), "doc_id")
+    # fitted on (train) and transformed with (all): tokenise once
+    return docs.select("doc_id", "part"), cut_lineage(tc)
 
 
 def vocabulary(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +52,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss,
-    fixes the content of non-deterministic plans such as a range sort tagged with
-    partition ids)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table under the shared checkpoint folder
+    and read it back: the lineage is cut, the data survive executor loss, and
+    columns tagged with partition ids keep their values.  (Columnar files are
+    far cheaper than ``checkpoint()``'s serialised rows.)"""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than the
+    cluster can run at once (e.g. one large row group).  Large inputs already
+    arrive in many splits and are left alone — no extra shuffle at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -55,3 +55,32 @@ def source_rank(order: Sequence[str], source_col: str = "source_name") -> F.Colu
     """Fixed source precedence: the position in ``order``; unknown sources after."""
     pos = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(source_col))
     return F.when(pos == 0, F.lit(len(order) + 1)).otherwise(pos)
+
+
+def ingest_log(labels: DataFrame, label: str = "label", date: str = "date") -> DataFrame:
+    """One row: label rows, first / last date, the sorted distinct classes (joined
+    with ``,``) — distinct classes are a partial aggregation, never a row list."""
+    classes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__n"),
+                                        F.min(date).alias("__dmin"), F.max(date).alias("__dmax"))
+    return classes.agg(F.sum("__n").cast("long").alias("n_labels"),
+                       F.min("__dmin").alias("date_min"), F.max("__dmax").alias("date_max"),
+                       F.count(F.lit(1)).alias("n_classes"),
+                       F.array_join(F.sort_array(F.collect_list(F.col(label).cast("string"))), ",")
+                       .alias("families"))
+
+
+def class_counts(labels: DataFrame, label: str = "label") -> DataFrame:
+    """Rows per class."""
+    return labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def align(features: DataFrame, labels: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Inner join of a feature view with its labels; raises when any sample is
+    missing on either side (the row-count check of a feature/label alignment)."""
+    j = features.join(labels, id_col, "full")
+    lc = [c for c in labels.columns if c != id_col][0]
+    fc = [c for c in features.columns if c != id_col][0]
+    bad = j.where(F.col(lc).isNull() | F.col(fc).isNull()).limit(1).count()
+    if bad:
+        raise ValueError("feature rows do not match label rows")
+    return features.join(labels, id_col)

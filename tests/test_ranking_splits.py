@@ -19,7 +19,10 @@ def skewed(spark, n=5000):
 
 def test_row_number_within_matches_window(spark):
     df = skewed(spark)
-    got = ranking.row_number_within(df, ["label"], ["date", "sample_id"], out="r", partitions=7)
+    got = ranking.row_number_within(df, ["label"], ["date", "sample_id"], out="r", partitions=7,
+                                    small_limit=0)
+    fast = ranking.row_number_within(df, ["label"], ["date", "sample_id"], out="r")
+    assert got.exceptAll(fast).count() == 0
     exp = df.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("date", "sample_id")))
     assert got.select("sample_id", "r").exceptAll(exp.select("sample_id", "r")).count() == 0
     assert got.count() == df.count()
@@ -27,7 +30,7 @@ def test_row_number_within_matches_window(spark):
 
 def test_running_total_matches_window(spark):
     df = skewed(spark).groupBy("label", "x").agg(F.count(F.lit(1)).alias("n"))
-    got = ranking.running_total(df, ["label"], ["x"], ["n"], partitions=5)
+    got = ranking.running_total(df, ["label"], ["x"], ["n"], partitions=5, small_limit=0)
     w = Window.partitionBy("label").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.withColumn("n_cum", F.sum("n").over(w))
     assert got.select("label", "x", "n_cum").exceptAll(exp.select("label", "x", "n_cum")).count() == 0
@@ -44,7 +47,8 @@ def _brute_chrono(df, min_val):
     return df.withColumn("part", F.when(r <= tr, "train").when(r <= sp, "val").otherwise("test"))
 
 
-def test_per_class_chronological_matches_brute_force(spark):
+def test_per_class_chronological_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_GROUP_ROWS", 0)  # force the range-sort path
     df = skewed(spark)
     got = splits.per_class_chronological(df, "sample_id", "label", "date")
     exp = _brute_chrono(df, 1)
