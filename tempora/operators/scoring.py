@@ -40,17 +40,22 @@ def _dot(a: Column, b: Column) -> Column:
 
 def cosine_logits(vec: str, temperature: float = 10.0) -> Column:
     """``temperature · cos(vec, centroid_k)`` for every class k of the joined
-    model columns ``cents`` / ``norms``."""
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    vnorm = F.sqrt(_dot(v, v))
-    return F.transform("cents", lambda c, i: F.lit(float(temperature)) * _dot(v, c)
-                       / (vnorm * F.element_at("norms", i + 1)))
+    model columns ``cents`` / ``norms``.  Per-row quantities (the vector norm)
+    are evaluated once and handed to the per-class lambda as array elements —
+    a value captured inside a higher-order lambda is re-evaluated per element."""
+    v = F.col(vec)
+    vnorm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    denom = F.zip_with("norms", F.array_repeat(vnorm, F.size("norms")), lambda nc, nv: nc * nv)
+    dots = F.transform("cents", lambda c: F.aggregate(
+        F.zip_with(v, c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x))
+    return F.zip_with(dots, denom, lambda dt, dn: F.lit(float(temperature)) * dt / dn)
 
 
 def softmax(logits: Column) -> Column:
+    """exp(z) / Σ exp(z) with the sum evaluated once per row."""
     ex = F.transform(logits, lambda z: F.exp(z))
     tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(ex, lambda e: e / tot)
+    return F.zip_with(ex, F.array_repeat(tot, F.size(ex)), lambda e, t: e / t)
 
 
 def score(rows: DataFrame, model: DataFrame, vec: str, by: Sequence[str] = (),

@@ -40,7 +40,7 @@ def vocabulary(spark, d):
     docs, tc = doc_terms(spark, d)
     n = docs.where(F.col("part") == "train").agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = features.tfidf_fit(tc.where(F.col("part") == "train"), n, "doc_id")
-    return docs, tc, vocab
+    return docs, tc, cut_lineage(vocab)  # at most max_terms rows, used several times
 
 
 TFIDF_SQL = f"""
@@ -111,7 +111,7 @@ SELECT round(sqrt(greatest(0, (sum(p * ln(p / m)) + sum(q * ln(q / m))) / 2)), 6
 def drift_js_distance(spark, d):
     """AG16, AG17: Jensen–Shannon distance of term presence rates, train vs test."""
     docs, tc, vocab = vocabulary(spark, d)
-    rates = drift.presence_rates(tc, docs, "doc_id", "part", vocab)
+    rates = drift.presence_rates(tc, docs, "doc_id", "part", vocab, distinct_terms=True)
     return r6(drift.js_distance(rates, vocab, "part", "train", "test"))
 
 

@@ -26,10 +26,11 @@ def openset_scored(spark, d):
     s = _samples(spark, d)
     parts, facts = splits.heldout_class(s.drop("embedding"), "sample_id", "label", "date",
                                         min_unknown=MIN_UNKNOWN)
+    parts = cut_lineage(parts.select("heldout", "sample_id", "label", "part"))  # reused below
     rows = parts.join(s.select("sample_id", "embedding"), "sample_id")
     train = rows.where(F.col("part") == "train")
     # one centroid model per held-out class, fitted on its train rows only
-    model = scoring.fit_centroids(train, "embedding", "label", by=["heldout"])
+    model = cut_lineage(scoring.fit_centroids(train, "embedding", "label", by=["heldout"]))
     evald = rows.where(F.col("part").isin("val", "known_test", "unknown_test"))
     scored = scoring.score(evald, model, "embedding", by=["heldout"]).select(
         "heldout", "sample_id", "label", "part", "p", F.col("classes").alias("cls"))
