@@ -97,8 +97,7 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     else:
         for v in value_cols:
             glob = glob.withColumn(v + out_suffix, F.col(f"__rt_g_{v}"))
-    helper = [c for c in glob.columns if c.startswith("__rt_")]
-    return glob.drop(*helper)
+    return glob.select(*df.columns, *[v + out_suffix for v in value_cols])
 
 
 def row_number_within(df: DataFrame, group_cols: Sequence[str],

@@ -121,8 +121,8 @@ def retrain_episodes(spark, d):
 
 
 @register("trigger_summary", WF_SQL + """
-SELECT count(*) AS n_windows, count_if(trigger)::BIGINT AS n_trigger_windows,
-       count_if(retrain_recommended)::BIGINT AS n_trigger_episodes,
+SELECT count(*) AS n_windows, coalesce(count_if(trigger), 0)::BIGINT AS n_trigger_windows,
+       coalesce(count_if(retrain_recommended), 0)::BIGINT AS n_trigger_episodes,
        round(min(api_macro_f1), 4) AS min_macro_f1, round(max(api_macro_f1), 4) AS max_macro_f1,
        round(avg(api_macro_f1), 4) AS mean_macro_f1,
        coalesce(string_agg(CASE WHEN retrain_recommended THEN strftime(boundary, '%Y-%m-%d') END, ','

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tests.conftest import SF_SMALL
@@ -15,7 +16,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)

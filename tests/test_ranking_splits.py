@@ -22,6 +22,7 @@ def test_row_number_within_matches_window(spark):
     got = ranking.row_number_within(df, ["label"], ["date", "sample_id"], out="r", partitions=7,
                                     small_limit=0)
     fast = ranking.row_number_within(df, ["label"], ["date", "sample_id"], out="r")
+    assert got.columns == fast.columns
     assert got.exceptAll(fast).count() == 0
     exp = df.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("date", "sample_id")))
     assert got.select("sample_id", "r").exceptAll(exp.select("sample_id", "r")).count() == 0
