@@ -81,6 +81,8 @@ def event_reports(spark, d):
 
 def parsed(spark, d, on_malformed="empty"):
     r = event_reports(spark, d).withColumn("report", rpt.parse("text"))
+    if on_malformed == "null":
+        return r
     if on_malformed == "drop":
         return r.where(F.col("report").isNotNull())
     return r.withColumn("report", F.coalesce("report", F.parse_json(F.lit("{}"))))
@@ -230,7 +232,9 @@ FROM hits GROUP BY ALL
 """)
 def report_audit_terms(spark, d):
     """F12, F13, SC3 (audit drops malformed reports): hits over all audited fields."""
-    hits = audit.scan_reports(parsed(spark, d, "drop"))
+    # a malformed (NULL) report yields no strings, so no filter is needed here —
+    # filtering would be pushed below the parse and run try_parse_json twice
+    hits = audit.scan_reports(parsed(spark, d, "null"))
     return audit.by_term(hits)
 
 
@@ -242,8 +246,8 @@ SELECT (SELECT count(*) FROM ev WHERE NOT malformed) AS n_scanned, (SELECT count
 """)
 def report_audit_summary(spark, d):
     """AG2 on reports: malformed reports are neither scanned nor counted."""
-    reports = parsed(spark, d, "drop")
-    return r6(audit.summarise(audit.scan_reports(reports), reports))
+    hits = audit.scan_reports(parsed(spark, d, "null"))  # NULL reports give no hits
+    return r6(audit.summarise(hits, parsed(spark, d, "drop").select("sample_id")))
 
 
 # ------------------------------------------------------------------ URL strings (pages)
