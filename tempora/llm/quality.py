@@ -51,6 +51,7 @@ SIGNALS = {
     "repeat_words": ("n_repeat_words", "n_words"),
     "upper_letters": ("n_upper", "n_letters"),
     "bangs_per_word": ("n_bangs", "n_words"),
+    "pipes_per_word": ("n_pipes", "n_words"),
     "chars_per_word": ("word_chars", "n_words"),
 }
 #: Strict to mild cutoffs of a signal: ratios between 0.01 and 1, and word lengths.
@@ -179,7 +180,7 @@ def walk(good: list[int], bad: list[int], n_good: int, risk: float, level: float
 
 
 def choose_cutoffs(f: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                   stratum: str = "lang", label_col: str = "quality", risk: float = 0.01,
+                   stratum: str = "lang", label_col: str = "quality", risk: float = 0.05,
                    delta: float = 0.05, good_cost: float = 20.0) -> DataFrame:
     """One row for each stratum and signal with a rule: ``stratum, signal, cutoff``.
     Calibrated on labelled rows that pass the base rule: the method's rules decide
@@ -210,7 +211,7 @@ def choose_cutoffs(f: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     picked = counts.withColumn("__one", F.lit(1)).join(
         F.broadcast(n_strata.withColumn("__one", F.lit(1))), "__one") \
         .groupBy("stratum", "signal").applyInPandas(pick, "stratum string, signal string, cutoff double")
-    return picked.where(~F.isnan("cutoff"))
+    return picked.where(F.col("cutoff").isNotNull() & ~F.isnan("cutoff"))
 
 
 def judge(f: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -230,3 +231,17 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: id, counts, ``base_failed``, ``rules``, ``kept``."""
     f = base_failed(features(docs, [id_col, stratum], text_col))
     return judge(f, choose_cutoffs(f, labels, id_col, stratum, **options), stratum)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              stratum: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.  The decision is taken
+    row by row beside the row's own columns, so texts are not shuffled."""
+    base = [c for c in docs.columns]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in base]).alias("row"), F.col(id_col).alias("__id"),
+                      F.col(stratum).alias("__stratum"), F.col(text_col).alias("__text"))
+    counted = base_failed(features(own, ["__id", "__stratum"], "__text"))
+    cutoffs = choose_cutoffs(counted, labels.select(F.col(id_col).alias("__id"), "quality"), "__id",
+                             "__stratum", **options)
+    f = base_failed(features(own, ["row", "__stratum"], "__text"))
+    return judge(f, cutoffs, "__stratum").where("kept").select("row.*")
