@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality
+from . import decontam, near_dedup, packing, quality, substring
 from .tables import documents as table
 
 
@@ -14,6 +14,21 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the word spans cut out of it and the text that is left."""
+    out = substring.cut_repeats(table(spark, sf_dir))
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1)
+    return out.select("row.doc_id", words.alias("removed_words"), "removed", "text")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.BASE_COUNTS, "base_failed", "kept",
@@ -38,5 +53,6 @@ comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
 SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN comp ON v = doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_substring_dedup, op3_packing, op6_decontamination, op8_quality_rules)}
 SQL = {"op1_near_dedup": OP1_SQL}
