@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, packing, quality, substring
-from .tables import documents as table
+from . import decontam, near_dedup, packing, quality, substring, token_store, toxicity, url_trust
+from .tables import Scratch, documents as table
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+             ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +28,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return toxicity.ToxicityModel().fit(docs, table(spark, sf_dir, "labels")).score(docs)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.BASE_COUNTS, "base_failed", "kept",
                       F.array_join("rules", ",").alias("rules"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = Scratch(spark, "token-store").path("store")
+    token_store.write(table(spark, sf_dir), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.digest(spark, root)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -54,5 +74,6 @@ SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_substring_dedup, op3_packing, op6_decontamination, op8_quality_rules)}
+    op1_near_dedup, op2_substring_dedup, op3_packing, op5_url_trust, op6_decontamination, op7_toxicity,
+    op8_quality_rules, op9_token_store)}
 SQL = {"op1_near_dedup": OP1_SQL}

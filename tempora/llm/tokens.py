@@ -95,3 +95,7 @@ class Encoder:
             self._learn(list(new))
         return [self._whole(t) if w is None else start[w[0]] + b"".join(map(after.__getitem__, w[1:]))
                 for t, w in zip(texts, cut)]
+
+
+def as_texts(column) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
