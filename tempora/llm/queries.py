@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, packing, quality, substring, token_store, toxicity, url_trust
+from . import decontam, language, licenses, near_dedup, packing, quality, substring, token_store, toxicity, url_trust
 from .tables import Scratch, documents as table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir))
+
+
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -55,6 +59,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(spark, root)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the text model is counted over all documents."""
+    model = language.TextModel().fit(table(spark, sf_dir))
+    return language.identify(table(spark, sf_dir, "pages"), model)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -74,6 +84,6 @@ SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_substring_dedup, op3_packing, op5_url_trust, op6_decontamination, op7_toxicity,
-    op8_quality_rules, op9_token_store)}
+    op1_near_dedup, op2_substring_dedup, op3_packing, op4_license_scan, op5_url_trust, op6_decontamination, op7_toxicity,
+    op8_quality_rules, op9_token_store, op10_language)}
 SQL = {"op1_near_dedup": OP1_SQL}
