@@ -3,10 +3,10 @@
 Every template is cut into word K-grams; of each ``WINDOW`` consecutive K-grams the
 one of least hash is kept (winnowing), so any stretch of K + WINDOW - 1 template words
 holds an indexed gram.  The inverted index maps a gram to its templates and places.
-All K-grams of a document are looked up; hits of one template whose distance (place
-in the document less place in the template) differs by at most ``BAND`` are one
-candidate, and a sequence alignment of the template with the words around it, within
-``BAND`` of that distance, gives the matched words, so that inserted, dropped or
+All K-grams of a document are looked up; every template and distance (place in the
+document less place in the template) that is hit is a candidate, and a sequence
+alignment of the template with the words within ``BAND`` of that distance gives the
+matched words, so that inserted, dropped or
 changed words are allowed for.  A match of ``COVER`` of the template's words is
 reported with its span.
 
@@ -88,7 +88,7 @@ class Index:
 def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first, last) of the best alignment of the whole template with
     the words near ``diagonal``; a match scores 2, a skipped or changed word -1."""
-    lowest, worst = diagonal - band, -10**9
+    lowest = diagonal - band
     # state by offset in the band: score, matched, first and last matched place
     row = [(0, 0, -1, -1)] * (2 * band + 1)
     for i, want in enumerate(template):
@@ -106,8 +106,9 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
                 best = (new[-1][0] - 1, *new[-1][1:])
             new.append(best)
         row = new
-    _, matched, first, last = max(row, key=lambda r: (r[0], r[1], -r[2]), default=(worst, 0, -1, -1))
-    return matched, first, last
+    # ties: the path that ends nearest the diagonal
+    o = max(range(len(row)), key=lambda o: (row[o][0], row[o][1], -abs(o - band)))
+    return row[o][1:]
 
 
 def _matches(index: Index, words: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple]:
@@ -118,11 +119,8 @@ def _matches(index: Index, words: np.ndarray, hits: list[tuple[int, int]]) -> li
             near.setdefault(number, []).append(at - place)
     own, found = words.tolist(), []
     for number, diagonals in near.items():
-        size, last_tried = len(index.words[number]), None
+        size = len(index.words[number])
         for d in sorted(set(diagonals)):
-            if last_tried is not None and d - last_tried <= BAND:
-                continue  # within the band of the one before
-            last_tried = d
             matched, first, last = align(index.words[number], own, d)
             if matched >= COVER * size:
                 found.append((index.names[number], matched / size, first, last, matched))
