@@ -93,8 +93,8 @@ def measure(column: pa.Array) -> pd.DataFrame:
         breaks = np.flatnonzero(t.buf == 10)
         line_start = np.union1d(t.off[:-1], breaks + 1)
         line_start = line_start[line_start < len(t.buf)]
-        line_end = np.minimum(np.concatenate([line_start[1:], [len(t.buf)]]), len(t.buf))
-        stop = line_end - (t.buf[np.maximum(line_end - 1, 0)] == 10) if len(line_end) else line_end
+        line_end = np.append(line_start, len(t.buf))[1:]
+        stop = line_end - (t.buf[line_end - 1] == 10)
         doc = np.searchsorted(t.off, line_start, "right") - 1
         words_in = np.searchsorted(start, stop) - np.searchsorted(start, line_start)
         line_start, stop, doc = (x[words_in > 0] for x in (line_start, stop, doc))

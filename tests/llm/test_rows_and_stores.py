@@ -45,10 +45,10 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     rows += [(5000, prose(1, 70).replace(" ", "%%% "), None), (5001, None, "en"), (None, prose(2, 60), "en")]
     docs = spark.createDataFrame(rows, DOCS + ", lang string").withColumn("n_words", F.lit("clash"))
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality.quality(docs, lab).collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, lab, risk=0.2).collect()}
     assert all(got[i].kept == (i % 3 != 0) for i in range(1200))
     assert got[5000].kept and not got[5001].kept and got[None].kept  # a stratum without labels has no rule
-    kept = quality.keep_good(docs, lab)
+    kept = quality.keep_good(docs, lab, risk=0.2)
     assert kept.columns == docs.columns and kept.count() == 802
     assert quality.quality(docs, lab.limit(0)).where("kept").count() == 1202
     assert quality.quality(docs.limit(0), lab).count() == 0
@@ -115,7 +115,7 @@ def test_token_store_round_trip(spark, tokenizer, monkeypatch):
         assert r.indexed
         at += len(ids)
     assert token_store.get(spark, root, 1000002) == whole.encode("é  x", add_special_tokens=False).ids + [2]
-    assert token_store.get(spark, root, 1) is None
+    assert token_store.get(spark, root, 2) is None
     empty = Scratch(spark, "test").path("store")
     token_store.write(docs.limit(0), empty, tokenizer)
     assert token_store.digest(spark, empty).count() == 0 and token_store.get(spark, empty, 5) is None
