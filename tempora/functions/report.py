@@ -146,7 +146,13 @@ def pe_features(v: str) -> list[Column]:
     ents_c, sizes_c = F.expr(ents), F.expr(sizes)
     n_ent = F.size(ents_c)
     mean = F.aggregate(ents_c, F.lit(0.0), lambda a, x: a + x) / n_ent
-    var = F.aggregate(ents_c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n_ent
+    # Welford's update: a mean taken outside the lambda would be evaluated again for
+    # every section
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+    var = F.aggregate(ents_c, start, lambda a, x: F.struct(
+        (a["n"] + 1.0).alias("n"), (a["m"] + (x - a["m"]) / (a["n"] + 1.0)).alias("m"),
+        (a["s"] + (x - a["m"]) * (x - a["m"]) * a["n"] / (a["n"] + 1.0)).alias("s")),
+        lambda a: a["s"] / a["n"])
     pe_ok = F.expr(is_obj)
     secs_raw = f"try_variant_get({pe}, '$.sections', 'variant')"
     has_secs = pe_ok & F.expr(f"({secs_raw} IS NULL OR {secs} IS NOT NULL)")

@@ -98,11 +98,11 @@ def file_tokens(x: str | Column, terms: Iterable[str] | None = config.CLASS_NAME
 
 
 def words(x: str | Column) -> Column:
-    """Lower-cased words: maximal runs of two or more Unicode letters, marks,
+    """Lower-cased words: maximal runs of two or more Unicode letters,
     digits or underscores (the vectorizers' ``\\b\\w\\w+\\b`` rule written as a
     character-class run, which needs no word-boundary look-around)."""
     return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))),
-                                F.lit(r"[\p{L}\p{M}\p{N}_]{2,}"), 0)
+                                F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 def ngrams(tokens: str | Column, lo: int = 1, hi: int = 2) -> Column:
@@ -123,8 +123,3 @@ def ngrams(tokens: str | Column, lo: int = 1, hi: int = 2) -> Column:
             g = F.zip_with(g, F.slice(t, k + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
         parts.append(g)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def round_half_even(x: Column, places: int) -> Column:
-    """Python's ``round`` (banker's rounding on the decimal value)."""
-    return F.bround(x, places)

@@ -16,12 +16,6 @@ from .. import config
 from ..functions.report import report_strings
 from ..functions.text import segments
 
-# vocabularies above this many terms go through a broadcast join instead of an
-# in-row array intersection
-ARRAY_VOCAB_LIMIT = 2_000
-BROADCAST_VOCAB_LIMIT = 5_000_000
-
-
 def default_vocabulary() -> dict[str, list[str]]:
     return {"family_name": list(config.CLASS_NAMES),
             "detection_indicator": list(config.DETECTION_TERMS)}
@@ -32,39 +26,20 @@ def vocabulary_frame(spark: SparkSession, vocab: Mapping[str, Sequence[str]]) ->
     return spark.createDataFrame(rows, "term string, match_type string")
 
 
-def _tag(match_type: str):
-    def tag(term):
-        return F.struct(F.lit(match_type).alias("match_type"), term.alias("matched_term"))
-    return tag
-
-
 def scan(values: DataFrame, vocab: Mapping[str, Sequence[str]] | DataFrame,
          id_col: str = "sample_id", field_col: str = "field",
          value_col: str = "value", value_chars: int = 200) -> DataFrame:
     """One row per hit: ``id, field, value (<= value_chars), match_type,
-    matched_term``.  ``values`` holds one row per (id, field, value occurrence)."""
+    matched_term``.  ``values`` holds one row per (id, field, value occurrence); a term
+    counts once per value, whatever its letter case and however often it is listed.
+    An equi-join at every vocabulary size: AQE broadcasts a small vocabulary."""
+    vdf = vocab if isinstance(vocab, DataFrame) else vocabulary_frame(values.sparkSession, vocab)
+    vdf = vdf.select(F.lower("term").alias("term"), "match_type").distinct()
     segs = values.select(id_col, field_col, value_col,
-                         segments(value_col).alias("__segs"))
-    if isinstance(vocab, Mapping) and sum(len(t) for t in vocab.values()) <= ARRAY_VOCAB_LIMIT:
-        # small vocabulary: intersect inside the row, no join, no shuffle
-        per_type = [
-            F.transform(
-                F.array_intersect("__segs", F.array(*[F.lit(t.lower()) for t in sorted(set(terms))])),
-                _tag(mt))
-            for mt, terms in vocab.items() if terms
-        ]
-        hits = segs.select(id_col, field_col, value_col,
-                           F.explode_outer(F.concat(*per_type)).alias("__h")).where(F.col("__h").isNotNull())
-        hits = hits.select(id_col, field_col, value_col, "__h.match_type", "__h.matched_term")
-    else:
-        vdf = vocab if isinstance(vocab, DataFrame) else vocabulary_frame(values.sparkSession, vocab)
-        n_terms = vdf.count()
-        if n_terms > BROADCAST_VOCAB_LIMIT:
-            raise ValueError(f"vocabulary of {n_terms} terms is too large to broadcast")
-        seg_rows = segs.select(id_col, field_col, value_col, F.explode_outer("__segs").alias("term")) \
-            .where(F.col("term").isNotNull())
-        hits = seg_rows.join(F.broadcast(vdf), "term").select(
-            id_col, field_col, value_col, "match_type", F.col("term").alias("matched_term"))
+                         F.explode_outer(F.array_distinct(segments(value_col))).alias("term")) \
+        .where(F.col("term").isNotNull())
+    hits = segs.join(vdf, "term").select(
+        id_col, field_col, value_col, "match_type", F.col("term").alias("matched_term"))
     return hits.withColumn(value_col, F.substring(value_col, 1, value_chars))
 
 

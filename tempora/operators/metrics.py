@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from .ranking import row_number_within, running_total
+from .ranking import join_null_safe, row_number_within, running_total
 
 
 def _w(weight: str | None) -> Column:
@@ -78,15 +78,16 @@ def summary(pred: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
 
 def confusion(pred: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
               y_pred: str = "y_pred", classes: Sequence[str] | None = None) -> DataFrame:
-    """Long confusion counts ``(by, y_true, y_pred, n)``; with ``classes`` (and no
-    ``by``) every cell of the K×K grid is present, zeros included."""
+    """Long confusion counts ``(by, y_true, y_pred, n)``; with ``classes`` every cell
+    of each run's K×K grid is present, zeros included."""
     cells = pred.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    if classes is None or by:
+    if classes is None:
         return cells
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes], "y_true string, y_pred string")
-    return grid.join(cells, ["y_true", "y_pred"], "left").withColumn(
+    runs = pred.select(*by).distinct() if by else pred.sparkSession.range(1).select()
+    names = F.array(*[F.lit(c) for c in classes])
+    grid = runs.withColumn("y_true", F.explode(names)).withColumn("y_pred", F.explode(names))
+    return join_null_safe(grid, cells, [*by, "y_true", "y_pred"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0)).cast("long"))
 
 

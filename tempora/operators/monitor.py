@@ -26,12 +26,12 @@ def windows(df: DataFrame, date: str = "date", label: str = "label", start: str
             min_test: int = config.MIN_TEST) -> DataFrame:
     """Expanding-window plan: boundaries every ``days`` from ``start`` while
     ``boundary + days <= max(date)``; train = date < boundary, test =
-    [boundary, boundary + days).  Windows below the support guards are dropped.
+    [boundary, boundary + days).  Undated rows are in no window and train none.  Windows below the support guards are dropped.
     Returns ``window, boundary, test_start, test_end, n_train, n_test,
     families_present``."""
     idx = window_index(date, start, days)
     per = df.select(F.when(F.col(date) < F.to_date(F.lit(start)), F.lit(-1)).otherwise(idx).alias("window"),
-                    F.col(label).alias("__lab"), F.col(date).alias("__d"))
+                    F.col(label).alias("__lab"), F.col(date).alias("__d")).where(F.col(date).isNotNull())
     stats = per.groupBy("window").agg(F.count(F.lit(1)).alias("n_test"),
                                       F.count_distinct("__lab").alias("families_present"),
                                       F.max("__d").alias("__maxw"))

@@ -70,4 +70,4 @@ def rollup(summary: DataFrame, by: Sequence[str] = ("view_request", "score_metho
                                   "known_acceptance_rate", "unknown_detection_auroc"),
            places: int = 4) -> DataFrame:
     """Mean of each metric per group, rounded."""
-    return summary.groupBy(*by).agg(*[F.round(F.avg(c), places).alias(f"mean_{c}") for c in cols])
+    return summary.groupBy(*by).agg(*[F.round(F.avg(c), places).alias(f"mean_{c}") for c in cols]).orderBy(*by)

@@ -2,34 +2,42 @@
 
 ``row_number() over (partition by g order by k)`` sends every row of a group to a
 single task; with one class holding a third of all rows that task holds a third of
-the data.  The helpers here rank through a *global range sort* instead: Spark
-samples the sort key, splits even a single hot group over many partitions, and the
-per-partition row counts (one row per partition) turn local positions into global
-ones.  Only the small per-partition and per-group tables are windowed.
+the data.  The helpers here rank through a *global range sort* instead, at every
+size: Spark samples the sort key, splits even a single hot group over many
+partitions, and the per-partition row counts (one row per partition) turn local
+positions into global ones.  Only the small per-partition table is windowed as a whole.
 
-The sorted, position-tagged frame is checkpointed to the shared checkpoint folder
-so both passes see identical partitions, and a lost executor cannot reshuffle it.
+Nulls are ordinary values: a null group is a group of its own, and a null order key
+sorts last, so no row is lost and part sizes add up.
+
+The sorted, position-tagged frame is written to the shared checkpoint folder, so both
+passes see identical partitions, and a lost executor cannot reshuffle it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Groups up to this many rows are ranked with a plain window (one task holds at
-# most this many rows); larger groups take the range-sort path.
-SMALL_GROUP_ROWS = 2_000_000
-
 _PID = "__rt_pid"
 _MID = "__rt_mid"
 
 
-def _cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+def _last(cols: Sequence[str | Column]) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; keeps the left side's keys."""
+    own = right.select(*[F.col(k).alias(f"__ns_{k}") for k in keys],
+                       *[c for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__ns_{k}")) for k in keys])
+    return left.join(own, on, how).drop(*[f"__ns_{k}" for k in keys])
 
 
 def _tag_sorted(df: DataFrame, keys: list[Column], partitions: int | None) -> DataFrame:
@@ -43,34 +51,17 @@ def _tag_sorted(df: DataFrame, keys: list[Column], partitions: int | None) -> Da
     return cut_lineage(tagged)
 
 
-def _largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    if not group_cols:
-        return df.count()
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-
-
 def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                   value_cols: Sequence[str], out_suffix: str = "_cum",
-                  partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` within ``group_cols`` in the
-    order ``order_cols`` (which must be a total order inside a group).
+    order ``order_cols`` (a total order inside a group; nulls last).
 
-    Equivalent to ``sum(v) over (partition by g order by k rows between
-    unbounded preceding and current row)``.  When the largest group is within
-    ``small_limit`` rows (checked with one aggregation) that window is used as is;
-    beyond it the range-sort path keeps every task bounded.
-    Adds ``<v><out_suffix>`` columns.
+    Equivalent to ``sum(v) over (partition by g order by k nulls last rows between
+    unbounded preceding and current row)``, with every task bounded by the range
+    sort.  Adds ``<v><out_suffix>`` columns.
     """
-    limit = SMALL_GROUP_ROWS if small_limit is None else small_limit
-    if limit > 0 and _largest_group(df, group_cols) <= limit:
-        w = Window.partitionBy(*group_cols).orderBy(*_cols(list(order_cols))) \
-            .rowsBetween(Window.unboundedPreceding, 0)
-        out = df
-        for v in value_cols:
-            out = out.withColumn(v + out_suffix, F.sum(v).over(w))
-        return out
-    keys = _cols(list(group_cols)) + _cols(list(order_cols))
-    tagged = _tag_sorted(df, keys, partitions)
+    tagged = _tag_sorted(df, _last(group_cols) + _last(order_cols), partitions)
     # position inside the partition, then a running sum inside the partition
     # (partitions are balanced by the range sort, so this window is bounded)
     w_local = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
@@ -91,7 +82,7 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         base = glob.groupBy(*group_cols).agg(
             *[F.min_by(F.col(f"__rt_g_{v}") - F.col(v), first).alias(f"__rt_base_{v}")
               for v in value_cols])
-        glob = glob.join(base, list(group_cols))
+        glob = join_null_safe(glob, base, list(group_cols))
         for v in value_cols:
             glob = glob.withColumn(v + out_suffix, F.col(f"__rt_g_{v}") - F.col(f"__rt_base_{v}"))
     else:
@@ -102,18 +93,17 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 
 def row_number_within(df: DataFrame, group_cols: Sequence[str],
                       order_cols: Sequence[str | Column], out: str = "rank",
-                      partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` within groups, scalable for hot groups."""
     one = "__rn_one"
     ranked = running_total(df.withColumn(one, F.lit(1).cast("long")), group_cols,
-                           order_cols, [one], partitions=partitions, small_limit=small_limit)
+                           order_cols, [one], partitions=partitions)
     return ranked.withColumnRenamed(one + "_cum", out).drop(one)
 
 
 def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str | Column,
                         fine_cols: Sequence[str | Column], cuts: DataFrame,
-                        labels: Sequence[str], out: str = "part",
-                        small_limit: int | None = None) -> DataFrame:
+                        labels: Sequence[str], out: str = "part") -> DataFrame:
     """Label rows by their rank inside a group without ranking every row.
 
     ``cuts`` holds ``group_cols`` plus ``cuts: array<bigint>`` — non-decreasing
@@ -128,11 +118,12 @@ def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str |
     coarse_col = coarse if isinstance(coarse, Column) else F.col(coarse)
     base = df.withColumn("__coarse", coarse_col)
     hist = base.groupBy(*g, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per (group, coarse value): bounded by classes x distinct coarse values
-    w = Window.partitionBy(*g).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    # one row per (group, coarse value), up to one per row for a unique coarse key, so
+    # its running count takes the range sort too
+    hist = running_total(hist, g, ["__coarse"], ["__n"]) \
+        .withColumn("__before", F.col("__n_cum") - F.col("__n")).drop("__n_cum")
     if g:
-        hist = hist.join(cuts.select(*g, F.col("cuts").alias("__cuts")), g)
+        hist = join_null_safe(hist, cuts.select(*g, F.col("cuts").alias("__cuts")), g)
     else:  # one global group: its single cuts row is a literal, not a join
         row = cuts.select("cuts").first()
         hist = hist.withColumn("__cuts", F.array(*[F.lit(int(c)).cast("long") for c in row["cuts"]]))
@@ -148,12 +139,11 @@ def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str |
     resolved = hist.select(*g, "__coarse", "__before", "__cuts",
                            F.when(F.col("__first") == F.col("__last"), F.col("__first"))
                            .alias("__lab"))
-    joined = base.join(resolved, [*g, "__coarse"])
+    joined = join_null_safe(base, resolved, [*g, "__coarse"])
     label_arr = F.array(*[F.lit(x) for x in labels])
     whole = joined.where(F.col("__lab").isNotNull())
     split = joined.where(F.col("__lab").isNull())
-    split = row_number_within(split, [*g, "__coarse"], list(fine_cols), out="__r",
-                              small_limit=small_limit)
+    split = row_number_within(split, [*g, "__coarse"], list(fine_cols), out="__r")
     split = split.withColumn("__lab", label_of(F.col("__before") + F.col("__r")))
     out_df = whole.unionByName(split.drop("__r"))
     out_df = out_df.withColumn(out, F.element_at(label_arr, (F.col("__lab") + 1).cast("int")))

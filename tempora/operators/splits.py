@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from .ranking import assign_by_rank_cuts, row_number_within
+from .ranking import assign_by_rank_cuts, join_null_safe, row_number_within
 
 MAX_CLASSES = 100_000  # class lists are collected to the driver; this bounds them
 
@@ -179,7 +179,7 @@ def kfold(df: DataFrame, id_col: str = "sample_id", label: str = "label", k: int
     """Stratified k-fold assignment without shuffling: inside a class ordered by
     id, ``fold = floor((rank-1)·k / n_c)`` (contiguous, near-equal blocks)."""
     counts = class_counts(df, label)
-    ranked = row_number_within(df, [label], [id_col], out="__rank").join(counts, label)
+    ranked = join_null_safe(row_number_within(df, [label], [id_col], out="__rank"), counts, [label])
     return ranked.withColumn("fold", F.floor((F.col("__rank") - 1) * k / F.col("n_c")).cast("int")) \
         .drop("__rank", "n_c")
 

@@ -46,7 +46,7 @@ def vocabulary(spark, d):
 TFIDF_SQL = f"""
 WITH sp AS ({random_sql(DOC_SAMPLES_SQL)}),
 docs AS (SELECT d.doc_id, sp.part,
-                regexp_extract_all(lower(coalesce(d.text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}') AS w
+                regexp_extract_all(lower(coalesce(d.text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w
          FROM documents d JOIN sp ON sp.sample_id = d.doc_id),
 grams AS (SELECT doc_id, part, unnest(w) AS term FROM docs
           UNION ALL

@@ -37,7 +37,8 @@ def get_spark(master: str | None = None, app: str = "tempora",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder.  The cluster's ``spark.checkpoint.dir`` wins;
-    only when nothing is configured (local tests) a scratch folder is created."""
+    only a local session without one (tests) gets a scratch folder; a cluster without
+    one is an error, since its executors would write to their own disks."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -46,8 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and "cluster" not in sc.master:
+        # one machine: the driver's scratch folder is every task's folder
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tempora-ckpt-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
 
 

@@ -20,31 +20,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import audit, metrics
-from ..session import ensure_checkpoint_dir
-
-
-def _checkpoint(spark, name: str, location: str | None) -> str:
-    return location or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
 def start_audit_stream(records: DataFrame, vocab: Mapping[str, Sequence[str]], out_path: str,
-                       id_col: str = "sample_id", field_col: str = "field", value_col: str = "value",
-                       checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """``records`` is a streaming DataFrame of (id, field, value) rows."""
+                       checkpoint: str, id_col: str = "sample_id", field_col: str = "field",
+                       value_col: str = "value", trigger: dict | None = None) -> StreamingQuery:
+    """``records`` is a streaming DataFrame of (id, field, value) rows; ``checkpoint``
+    is this stream's own folder, the same at each restart."""
     hits = audit.scan(records, vocab, id_col, field_col, value_col)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     w = hits.writeStream.foreachBatch(write).option(
-        "checkpointLocation", _checkpoint(records.sparkSession, "audit", checkpoint))
+        "checkpointLocation", checkpoint)
     w = w.trigger(**trigger) if trigger else w.trigger(availableNow=True)
     return w.start()
 
 
-def start_window_monitor(preds: DataFrame, out_path: str, ts: str = "ts", y_true: str = "y_true",
-                         y_pred: str = "y_pred", window: str = "30 days", watermark: str = "7 days",
-                         checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+def start_window_monitor(preds: DataFrame, out_path: str, checkpoint: str, ts: str = "ts",
+                         y_true: str = "y_true", y_pred: str = "y_pred", window: str = "30 days",
+                         watermark: str = "7 days", trigger: dict | None = None) -> StreamingQuery:
     """Streaming per-window class counts -> macro-F1 per closed window."""
     roles = F.explode(F.array(
         F.struct(F.col(y_true).alias("cls"), F.lit(1).alias("t"),
@@ -64,6 +60,6 @@ def start_window_monitor(preds: DataFrame, out_path: str, ts: str = "ts", y_true
         out.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     w = counts.writeStream.outputMode("append").foreachBatch(write).option(
-        "checkpointLocation", _checkpoint(preds.sparkSession, "monitor", checkpoint))
+        "checkpointLocation", checkpoint)
     w = w.trigger(**trigger) if trigger else w.trigger(availableNow=True)
     return w.start()
