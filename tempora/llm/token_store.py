@@ -96,8 +96,8 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id_col: s
                                                              .alias("e")).select("id", "e.*")
     n_buckets = max(1, -(-keys.count() // BUCKET))
     spark.createDataFrame([(n_buckets, width)], "buckets long, width int").write.parquet(f"{root}/meta")
-    keys.withColumn("bucket", _bucket("id", n_buckets)).groupBy("bucket").applyInPandas(_build, INDEX) \
-        .repartitionByRange("bucket").sortWithinPartitions("bucket").write.parquet(f"{root}/index")
+    keys.withColumn("bucket", _bucket("id", n_buckets)).repartitionByRange("bucket") \
+        .groupBy("bucket").applyInPandas(_build, INDEX).write.parquet(f"{root}/index")
 
 
 def _bucket(col: str, n: int):
