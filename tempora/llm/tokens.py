@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 700_000
+CACHE = 1_000_000
 #: a space beside white space
 _BLANKS = re.compile(r" \s|\s ")
 
