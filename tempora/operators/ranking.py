@@ -29,7 +29,8 @@ _MID = "__rt_mid"
 
 
 def _last(cols: Sequence[str | Column]) -> list[Column]:
-    return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
+    """Names sort ascending with nulls last; columns bring their own order."""
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in cols]
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
