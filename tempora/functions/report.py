@@ -89,6 +89,20 @@ def api_tokens(v: str, terms: Sequence[str] | None = config.CLASS_NAMES,
     return F.filter(toks, lambda t: t != "") if terms is not None or strip_first else toks
 
 
+ART_FIELDS = ("mutexes", "files", "write_files")
+
+
+def api_artifact_tokens(v: str, terms: Sequence[str] | None = config.CLASS_NAMES) -> Column:
+    """API tokens, then the strings of ``ART_FIELDS`` lower-cased as ``ART:<value, 80
+    chars>``; class-name runs are removed from both unless ``terms`` is None."""
+    def clean(s: Column) -> Column:
+        return remove_terms(F.lower(s), terms) if terms is not None else strip(F.lower(s))
+
+    arts = [F.transform(F.filter(F.transform(string_items(v, f), clean), lambda t: t != ""),
+                        lambda t: F.concat(F.lit("ART:"), F.substring(t, 1, 80))) for f in ART_FIELDS]
+    return F.concat(api_tokens(v, terms), *arts)
+
+
 def artifact_tokens(v: str, terms: Sequence[str] | None = config.CLASS_NAMES,
                     cap: int = config.ARTIFACT_TOKEN_CAP) -> Column:
     """Namespaced artifact tokens FILE_EXT/FILE, REG, MUTEX, CMD, SVC in field

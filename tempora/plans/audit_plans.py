@@ -51,8 +51,8 @@ SELECT match_type, matched_term, count(*) AS n_hits, count(DISTINCT doc_id) AS n
 FROM h GROUP BY match_type, matched_term
 """)
 def audit_terms(spark, d):
-    """AG3, T7: hits per (match_type, term)."""
-    return audit.by_term(_doc_hits(spark, d))
+    """AG3, T7: hits per (match_type, term), most hits first."""
+    return audit.by_term(_doc_hits(spark, d), ordered=True)
 
 
 @register("audit_summary", f"""
@@ -128,6 +128,16 @@ def unlabelled_first10(spark, d):
                              id_col="doc_id", n=10)
 
 
+@register("labelled_without_report_first10", """
+SELECT doc_id FROM documents ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings) e USING (doc_id)
+ORDER BY doc_id LIMIT 10
+""")
+def labelled_without_report_first10(spark, d):
+    """First ten labelled ids (documents) without a report (embedding)."""
+    reports = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return rec.first_missing(table(spark, d, "documents"), reports, id_col="doc_id", n=10)
+
+
 @register("dedupe_copies", """
 SELECT md5(text) AS text_key, arg_min(doc_id, (source, doc_id)) AS doc_id,
        min(source) AS source, count(*) AS n_copies

@@ -144,6 +144,32 @@ def report_api_raw(spark, d):
                     .alias("api_text"))
 
 
+def _api_artifact_sql(filtered: bool):
+    clean = (lambda x: S.remove_terms(f"lower({x})")) if filtered else (lambda x: S.strip(f"lower({x})"))
+    art = lambda x: f"'ART:' || {clean(x)}[1:80]"
+    api = _api_sql() if filtered else (
+        "'kernel32.dll.' || event_type || ' advapi32.' || lower(event_type) || 'w ntdll.' || cls "
+        "|| '.init kernel32.dll.createremotethread'")
+    path = "'C:\\Users\\U' || user_id || '\\AppData\\Temp\\T' || k || '\\' || event_type || i || '.EXE'"
+    guid = ("'D:\\Cache\\{' || md5(CAST(event_id AS VARCHAR))[1:8] || '-abcd-4abc-8abc-' || "
+            "md5(CAST(event_id AS VARCHAR))[9:20] || '}\\' || cls || '.dat'")
+    mutexes = (f"CASE WHEN event_type = 'error' THEN [] ELSE [{art("'Global' || chr(92) || cls || '_' || k")}, "
+               f"{art("'Local' || chr(92) || md5(CAST(user_id AS VARCHAR))[1:10]")}] END")
+    files = f"list_concat(list_transform(range(1, n_files + 1), lambda i: {art(path)}), [{art(guid)}])"
+    return f"array_to_string(list_concat([{api}], {mutexes}, {files}), ' ')"
+
+
+@register("report_api_artifacts", BASE_SQL + f"""
+SELECT event_id AS sample_id, CASE WHEN malformed THEN '' ELSE {_api_artifact_sql(True)} END AS filtered,
+       CASE WHEN malformed THEN '' ELSE {_api_artifact_sql(False)} END AS unfiltered FROM ev
+""")
+def report_api_artifacts(spark, d):
+    """API and ``ART:`` tokens, with and without removal of class names."""
+    r = parsed(spark, d)
+    return r.select("sample_id", F.array_join(rpt.api_artifact_tokens("report"), " ").alias("filtered"),
+                    F.array_join(rpt.api_artifact_tokens("report", None), " ").alias("unfiltered"))
+
+
 def _artifact_sql():
     path = ("'C:\\Users\\U' || user_id || '\\AppData\\Temp\\T' || k || '\\' || event_type || i || '.EXE'")
     file_norm = S.remove_terms(S.normalise_path(path))

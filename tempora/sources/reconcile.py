@@ -33,11 +33,12 @@ def flag_reports(labels: DataFrame, reports: DataFrame, id_col: str = "sample_id
         flag, F.coalesce(F.col("__has"), F.lit(False))).drop("__has")
 
 
-def first_missing(reports: DataFrame, labels: DataFrame, id_col: str = "sample_id",
+def first_missing(have: DataFrame, want: DataFrame, id_col: str = "sample_id",
                   n: int = 10) -> DataFrame:
-    """The ``n`` smallest report ids that have no label (top-k, not a full sort)."""
-    ids = reports.select(id_col).distinct()
-    return ids.join(labels.select(id_col), id_col, "left_anti").orderBy(id_col).limit(n)
+    """The ``n`` smallest ids of ``have`` that ``want`` lacks (top-k, not a full sort):
+    labelled ids without a report, or reports without a label."""
+    ids = have.select(id_col).distinct()
+    return ids.join(want.select(id_col), id_col, "left_anti").orderBy(id_col).limit(n)
 
 
 def dedupe_by_source(df: DataFrame, key: str, rank_cols: Sequence[str],
