@@ -10,7 +10,7 @@ learning rows, labelled rows being held to their label.  Voters that fire togeth
 more often than their classes explain are discounted by the correlations found within
 the classes.  (3) A linear classifier (logistic regression over the presence of mined
 signs and fixed voters) is trained on the posterior labels of a bounded sample of
-learning rows, ``SAMPLE`` rows by hash of the id, and scores every whole text.
+learning rows, about ``SAMPLE`` rows by hash of the id, and scores every whole text.
 
 Learning rows are those with crc32(id as text) mod 3 not 1; labels of the others are
 never read.  Statistics (sign counts, firing patterns) cover all learning rows; only
@@ -250,7 +250,9 @@ class ToxicityModel:
                         [pa.array(target.astype(float)), _lists(_features(fires, doc, slot, shared.value[0]))],
                         names=["target", "features"])
 
-        sample = rows.orderBy("h").limit(SAMPLE).select("t", F.coalesce("gold", F.lit(-1)).alias("gold"))
+        share = SAMPLE / max(1, int(counts["count"].sum()))
+        sample = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select(
+            "t", F.coalesce("gold", F.lit(-1)).alias("gold"))
         fitted = sample.mapInArrow(examples, "target double, features array<int>").toPandas()
         self.weights, self.bias = _fit_linear(list(fitted["features"]), fitted["target"].to_numpy(float),
                                               len(FIXED) + len(self.slots))
