@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Scratch
 from .text import SEPARATOR, mix, slices, window_hashes
 
 BASE_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -194,23 +195,19 @@ def choose_cutoffs(f: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         F.struct(F.lit(s).alias("signal"), F.col(s).alias("level")) for s in SIGNALS])).alias("x")) \
         .groupBy("stratum", "x.signal", "x.level").agg(
             F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("bad"))
-    n_strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n"))
-    level = delta / len(SIGNALS)
+    counts = Scratch(f.sparkSession, "quality").put(counts, "counts")  # strata x signals x grid
+    level = delta / len(SIGNALS) / max(1, counts.select("stratum").distinct().count())
     own_risk = risk / len(SIGNALS)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         signal, grid = pdf["signal"].iloc[0], GRID[pdf["signal"].iloc[0]]
         at = {c: np.bincount(pdf["level"], pdf[c], len(grid) + 1) for c in ("good", "bad")}
         reach = {c: np.cumsum(v[::-1])[::-1][1:].astype(int).tolist() for c, v in at.items()}
-        i = walk(reach["good"], reach["bad"], int(at["good"].sum()), own_risk,
-                 level / max(1, int(pdf["n"].iloc[0])), good_cost)
+        i = walk(reach["good"], reach["bad"], int(at["good"].sum()), own_risk, level, good_cost)
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "signal": [signal],
                              "cutoff": [math.nan if i is None else grid[i]]})
 
-    # the one-row count of strata is joined by a constant key: at most one row
-    picked = counts.withColumn("__one", F.lit(1)).join(
-        F.broadcast(n_strata.withColumn("__one", F.lit(1))), "__one") \
-        .groupBy("stratum", "signal").applyInPandas(pick, "stratum string, signal string, cutoff double")
+    picked = counts.groupBy("stratum", "signal").applyInPandas(pick, "stratum string, signal string, cutoff double")
     return picked.where(F.col("cutoff").isNotNull() & ~F.isnan("cutoff"))
 
 
