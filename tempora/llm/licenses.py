@@ -8,7 +8,10 @@ document less place in the template) that is hit is a candidate, and a sequence
 alignment of the template with the words within ``BAND`` of that distance gives the
 matched words, so that inserted, dropped or
 changed words are allowed for.  A match of ``COVER`` of the template's words is
-reported with its span.
+reported with its span, if every identifying word is matched: those marked ``MARK`` in
+the template (name, variant, version; ``a|b`` allows either).  Between identifying
+words that follow one another no other word may stand, so "GNU Lesser General" is not
+"GNU General".
 
 Scale: a single pass over whole texts without a shuffle; the templates are a fixed
 parameter and travel with the task.
@@ -32,23 +35,34 @@ from .text import slices, window_hashes
 
 K, WINDOW, BAND, COVER = 3, 4, 6, 0.8
 
+MARK = "^"
+_V2, _V3, _V21 = "^2|2.0|v2|v2.0|2.0-only|2-only", "^3|3.0|v3|v3.0|3.0-only|3-only", "^2.1|v2.1|2.1-only"
+
 # Public licence notices.
 TEMPLATES = {
-    "apache-2.0/notice": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file "
-                         "except in compliance with the License. You may obtain a copy of the License at",
-    "mit/notice": "Released under the MIT License",
+    "apache-2.0/notice": "Licensed under the ^Apache ^License, Version ^2.0|2|v2|v2.0",
+    "apache-2.0/header": "Licensed under the ^Apache ^License, Version ^2.0|2|v2|v2.0 (the License); you may not use this "
+                         "file except in compliance with the License. You may obtain a copy of the License at",
+    "apache-1.1/notice": "Licensed under the ^Apache ^Software|License ^License|Version Version ^1.1|v1.1",
+    "mit/notice": "Released under the ^MIT License",
     "mit/permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
                       "and associated documentation files (the Software), to deal in the Software without restriction",
-    "gpl-3.0/notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                  "General Public License as published by the Free Software Foundation",
-    "cc-by-nc-4.0/notice": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0/notice": "Licensed under CC BY 4.0",
-    "cc-by-sa-4.0/notice": "Licensed under CC BY-SA 4.0",
+    "bsd/notice": "Released under the ^BSD License",
+    "isc/notice": "Released under the ^ISC License",
+    "gpl-2.0/notice": f"This work is licensed under the ^GNU ^General ^Public License, version {_V2}",
+    "gpl-3.0/notice": f"This work is licensed under the ^GNU ^General ^Public License, version {_V3}",
+    "lgpl-2.1/notice": f"This work is licensed under the ^GNU ^Lesser ^General ^Public License, version {_V21}",
+    "lgpl-3.0/notice": f"This work is licensed under the ^GNU ^Lesser ^General ^Public License, version {_V3}",
+    "agpl-3.0/notice": f"This work is licensed under the ^GNU ^Affero ^General ^Public License, version {_V3}",
+    "gpl/header": "This program is free software: you can redistribute it and/or modify it under the terms of the ^GNU "
+                  "^General ^Public License as published by the Free Software Foundation",
+    **{f"cc-{kind}-{v}/notice": f"Licensed under ^CC ^{kind.upper()} ^{v}"
+       for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("2.0", "2.5", "3.0", "4.0")},
     "bsd/conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted "
                       "provided that the following conditions are met",
-    "mpl-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-1.1/notice": "Licensed under the ^Mozilla ^Public|License License, Version ^1.1|v1.1",
+    "mpl-2.0/notice": "Licensed under the ^Mozilla ^Public|License License, Version ^2.0|2|v2|v2.0",
+    "mpl-2.0/header": "This Source Code Form is subject to the terms of the ^Mozilla ^Public License, v. ^2.0",
     "proprietary/notice": "All rights reserved",
 }
 
@@ -67,13 +81,30 @@ def bare_words(column):
         yield t, t.span_hashes(start[keep], end[keep], lower=True), np.searchsorted(doc, np.arange(t.n + 1))
 
 
+def _marked(template: str) -> tuple[str, dict[int, frozenset[int]]]:
+    """The text without marks (of alternatives the first), and by place of an
+    identifying word the hashes that match it."""
+    raw = template.split()
+    plain = [w[len(MARK):].split("|")[0] if w.startswith(MARK) else w for w in raw]
+    _, _, woff = next(bare_words(pa.array(plain)))
+    places = woff.tolist()  # a word that is punctuation only has no place
+    keys = {}
+    for at, w in enumerate(raw):
+        if w.startswith(MARK):
+            _, own, _ = next(bare_words(pa.array([w[len(MARK):].replace("|", " ")])))
+            keys[places[at]] = frozenset(own.tolist())
+    return " ".join(plain), keys
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
-        self.names, self.words = list(templates), []
+        self.names, self.words, self.keys = list(templates), [], []
         grams: dict[int, list[tuple[int, int]]] = {}
         for number, text in enumerate(templates.values()):
+            text, keys = _marked(text)
             _, words, woff = next(bare_words(pa.array([text])))
             self.words.append(words.tolist())
+            self.keys.append(keys)
             k = min(K, len(words))
             hashes, _ = window_hashes(words, woff, k)
             window = WINDOW if len(words) > 2 * (K + WINDOW) else 1  # short ones keep every gram
@@ -85,30 +116,34 @@ class Index:
         self.hashes = np.array(sorted(grams), np.uint64)
 
 
-def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[int], words: list[int], diagonal: int, band: int = BAND,
+          keys: dict[int, frozenset[int]] | None = None) -> tuple[int, int, int]:
     """(matched words, first, last) of the best alignment of the whole template with
-    the words near ``diagonal``; a match scores 2, a skipped or changed word -1."""
-    lowest = diagonal - band
+    the words near ``diagonal``; a match scores 2, a skipped or changed word -1.
+    ``keys``: words by place of which one must be matched; without such an alignment
+    nothing is."""
+    lowest, keys, never = diagonal - band, keys or {}, -1 << 40
     # state by offset in the band: score, matched, first and last matched place
     row = [(0, 0, -1, -1)] * (2 * band + 1)
     for i, want in enumerate(template):
-        new = []
+        new, key, close = [], keys.get(i), i in keys and i - 1 in keys
         for o in range(2 * band + 1):
             at = lowest + o + i
             score, matched, first, last = row[o]
-            if 0 <= at < len(words) and words[at] == want:
+            inside = 0 <= at < len(words)
+            if inside and (words[at] in key if key else words[at] == want) and (not close or last == at - 1):
                 best = (score + 2, matched + 1, first if first >= 0 else at, at)
             else:
-                best = (score - 1, matched, first, last)
-            if o + 1 < len(row) and row[o + 1][0] - 1 > best[0]:  # template word skipped
+                best = (never if key else score - 1, matched, first, last)
+            if not key and o + 1 < len(row) and row[o + 1][0] - 1 > best[0]:  # template word skipped
                 best = (row[o + 1][0] - 1, *row[o + 1][1:])
-            if new and new[-1][0] - 1 > best[0] and new[-1][1]:  # document word skipped
+            if new and new[-1][0] - 1 > best[0] and new[-1][1] and not (key and i + 1 in keys):  # document word skipped
                 best = (new[-1][0] - 1, *new[-1][1:])
             new.append(best)
         row = new
     # ties: the path that ends nearest the diagonal
     o = max(range(len(row)), key=lambda o: (row[o][0], row[o][1], -abs(o - band)))
-    return row[o][1:]
+    return row[o][1:] if row[o][0] > never // 2 else (0, -1, -1)
 
 
 def _matches(index: Index, words: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple]:
@@ -121,8 +156,8 @@ def _matches(index: Index, words: np.ndarray, hits: list[tuple[int, int]]) -> li
     for number, diagonals in near.items():
         size = len(index.words[number])
         for d in sorted(set(diagonals)):
-            matched, first, last = align(index.words[number], own, d)
-            if matched >= COVER * size:
+            matched, first, last = align(index.words[number], own, d, keys=index.keys[number])
+            if matched and matched >= COVER * size:
                 found.append((index.names[number], matched / size, first, last, matched))
     held: list[tuple] = []
     for m in sorted(found, key=lambda m: (-m[4], -m[1], m[2], m[0])):

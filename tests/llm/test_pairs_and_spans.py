@@ -134,3 +134,27 @@ def test_license_alignment(spark):
 def test_alignment_by_hand(text, want):
     codes = {w: i for i, w in enumerate("abcdexq")}
     assert licenses.align([codes[w] for w in "a b c d e".split()], [codes[w] for w in text.split()], 0) == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Released under the BSD License", "bsd/notice"), ("Released under the XYZ License", None),
+    ("Licensed under the Mozilla License, Version 2.0", "mpl-2.0/notice"),
+    ("Licensed under the Apache License, Version 1.1", "apache-1.1/notice"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2.0/notice"),
+    ("This work is licensed under the GNU General Public License, version 2", "gpl-2.0/notice"),
+    ("This work is licensed under the GNU General Public License, version 1", None),
+    ("This work is licensed under the GNU General Public License v3", "gpl-3.0/notice"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1", "lgpl-2.1/notice"),
+    ("This work is licensed under the GNU Library General Public License, version 3", None),
+    ("Licensed under CC BY-ND 4.0", "cc-by-nd-4.0/notice"), ("Licensed under CC BY-NC 3.0", "cc-by-nc-3.0/notice"),
+    ("Licensed under CC BY 1.0", None)])
+def test_identifying_words_must_match(text, want):
+    import pyarrow as pa
+
+    index = licenses.Index(licenses.TEMPLATES)
+    _, words, _ = next(licenses.bare_words(pa.array([f"so {text} then"])))
+    hits = []
+    for k in index.sizes:
+        hashes, _ = licenses.window_hashes(words, [0, len(words)], k)
+        hits += [(at, h) for at, h in enumerate(hashes.tolist()) if h in index.grams]
+    assert [m[0] for m in licenses._matches(index, words, hits)] == ([want] if want else [])
