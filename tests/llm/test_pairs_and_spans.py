@@ -1,5 +1,6 @@
 """Near-dedup, substring dedup, decontamination and licence scans."""
 
+import functools
 import random
 
 import pytest
@@ -149,12 +150,43 @@ def test_alignment_by_hand(text, want):
     ("Licensed under CC BY-ND 4.0", "cc-by-nd-4.0/notice"), ("Licensed under CC BY-NC 3.0", "cc-by-nc-3.0/notice"),
     ("Licensed under CC BY 1.0", None)])
 def test_identifying_words_must_match(text, want):
+    assert [m[0] for m in matches(f"so {text} then")] == ([want] if want else [])
+
+
+@functools.cache
+def license_index():
+    return licenses.Index(licenses.TEMPLATES)
+
+
+def matches(text):
+    import numpy as np
     import pyarrow as pa
 
-    index = licenses.Index(licenses.TEMPLATES)
-    _, words, _ = next(licenses.bare_words(pa.array([f"so {text} then"])))
+    index = license_index()
+    _, words, _ = next(licenses.bare_words(pa.array([text])))
     hits = []
     for k in index.sizes:
-        hashes, _ = licenses.window_hashes(words, [0, len(words)], k)
+        hashes, _ = licenses.window_hashes(words, np.array([0, len(words)]), k)
         hits += [(at, h) for at, h in enumerate(hashes.tolist()) if h in index.grams]
-    assert [m[0] for m in licenses._matches(index, words, hits)] == ([want] if want else [])
+    return licenses._matches(index, words, hits)
+
+
+@pytest.mark.parametrize("name", list(licenses.TEXTS))
+def test_whole_license_texts_have_their_own_span(name):
+    words = licenses._text(name).replace(licenses.MARK, "").split()
+    size = len(license_index().words[license_index().names.index(f"{name}/text")])
+    words[len(words) // 2] = "changed"
+    (got,) = matches(f"{prose(1, 30)} {' '.join(words)} {prose(2, 30)}")
+    assert got[0] == f"{name}/text" and 1 - 3 / size <= got[1] < 1 and got[2] == 30 and got[3] >= 30 + size - 2
+    assert f"{name}/text" not in [m[0] for m in matches(" ".join(words[: len(words) // 2]))]
+
+
+def test_affero_title_is_not_the_general_public_license():
+    text = licenses._text("gpl-3").replace(licenses.MARK, "").replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    assert "gpl-3/text" not in [m[0] for m in matches(text)]
+
+
+def test_license_headers_are_whole():
+    header = licenses.TEMPLATES["gpl-2.0/header"].replace("^2|2.0|v2|v2.0|2.0-only|2-only", "2").replace("^", "")
+    assert [m[:2] for m in matches(header)] == [("gpl-2.0/header", 1.0)]
+    assert not matches(" ".join(header.split()[:40]))
