@@ -13,7 +13,8 @@ and batches are numbered within a lane, so no bucket, however common its length,
 in one task; each lane leaves at most one batch unfilled.
 
 The unit is a white-space word plus one closing mark by default; ``length`` may be
-any column expression, such as the token counts of the token store.
+any column expression.  ``token_lengths`` gives the number of ids that the token store
+writes for a text, its end id included, so that bounds and budget hold for token ids.
 
 Edge cases: null and empty texts have length 1 (the closing mark); equal lengths share
 a bucket; repeated rows and rows without an id are packed like others (their lane
@@ -24,9 +25,13 @@ fewer buckets; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+from .tokens import as_texts, encoder
+
 LANE = 20_000
 
 
@@ -34,6 +39,23 @@ def word_length(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
 
 
+def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_tokens``: ids of each whole text and one end id; written once, since
+    packing reads lengths twice."""
+    def run(batches):
+        own = encoder(tokenizer)
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                n = [len(raw) // 4 + 1 for raw in own.encode(as_texts(part.column(1)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
+
+    own = docs.select(F.col(id_col), F.col(text_col))
+    kind = own.schema[0].dataType.simpleString()
+    return Scratch(docs.sparkSession, "packing").put(
+        own.mapInArrow(run, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col), "lengths")
+
+
 def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least total padding.
 

@@ -25,7 +25,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir))
+    """Lengths are token ids, as op9 writes them."""
+    import public_tokenizers
+
+    lengths = packing.token_lengths(table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(lengths, length=F.col("n_tokens"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,23 @@ def tokenizer():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_op3_packs_token_ids(spark, tokenizer, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer)
+    rows = [(i, prose(i, 30 * i)) for i in range(40)] + [(50, "中文" * 4000), (51, None), (52, ""), (None, "a b"), (1, "x")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_packing(spark, str(tmp_path)).toPandas()
+    want = {}
+    for i, text in rows:
+        want[i] = want.get(i, 0) + len(whole.encode(text or "", add_special_tokens=False).ids) + 1
+    got = out.fillna({"doc_id": -1}).groupby("doc_id")["length"].sum()
+    assert {None if i == -1 else i: n for i, n in got.items()} == want
+    assert (out["length"] <= 2048).all() and (out["doc_id"] == 50).sum() > 1
+    sizes = out.groupby(["bound", "lane", "batch"])["bound"].sum()
+    assert (sizes <= 65_536).all()
+
+
 def test_cached_ids_equal_the_library(tokenizer):
     from tokenizers import Tokenizer
 
