@@ -3,13 +3,15 @@
 Words lose their outer punctuation and letter case; numbers, names and units become
 typed placeholders.  A number holds a digit; a unit is a word of a fixed list after a
 number; a name is a capitalised word that does not open a sentence.  Every window of
-``K`` canonical words (shorter for shorter items, ``SHORTEST`` words at least) with
-enough plain words is hashed, and windows of documents and benchmark items are
-hash-joined.  The windows that a document shares with an item at one distance lie on
-one alignment; there the slots are checked: each slot value of the item must stand
-for one value of the document and the other way round, so "3 apples and 3 pears"
-matches "7 apples and 7 pears" but not "7 apples and 8 pears".  A document is
-contaminated by an item of which consistent alignments cover ``COVER`` of the words.
+``K`` canonical words (shorter for shorter items, ``SHORTEST`` words at least) is
+hashed with its own words, and with placeholders if it has any beside enough plain
+words; windows of documents and benchmark items are hash-joined.  The windows that a
+document shares with an item at one distance lie on one alignment.  Windows with equal
+words always count; those equal by placeholders count if the slots of their alignment
+agree: each slot value of the item must stand for one value of the document, so "3
+apples and 3 pears" matches "7 apples and 7 pears" but not "7 apples and 8 pears", and
+"3 apples and 4 pears" matches "5 apples and 5 pears".  A document is contaminated by
+an item of which these windows cover ``COVER`` of the words.
 
 Scale: documents are read once and never shuffled as texts.  A window of a document
 leaves its task only if a bitmap of ``SLOTS`` bits (a fixed size, whatever the
@@ -100,7 +102,8 @@ def canonical(texts: Texts) -> tuple[np.ndarray, ...]:
 
 def _windows(batch, k: int, only_short: bool, bitmap: np.ndarray | None):
     """Windows of k canonical words as rows (id, first, hash, slots); ``only_short``:
-    of texts that are no longer.  ``slots``: own hashes of placeholders, 0 elsewhere."""
+    of texts that are no longer.  ``slots``: own hashes of placeholders, 0 elsewhere and
+    in windows that are hashed with their own words."""
     for t in slices(batch.column(1)):
         kind, code, own, woff = canonical(t)
         if only_short:
@@ -108,25 +111,27 @@ def _windows(batch, k: int, only_short: bool, bitmap: np.ndarray | None):
             kept = np.repeat(size, np.diff(woff))
             kind, code, own = kind[kept], code[kept], own[kept]
             woff = np.concatenate([[0], np.cumsum(np.where(size, np.diff(woff), 0))])
-        hashes, offsets = window_hashes(code, woff, k)
-        doc = np.repeat(np.arange(t.n), np.diff(offsets))
-        place = np.arange(len(hashes)) - offsets[doc]
-        at = woff[doc] + place
         plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-        ok = 2 * (plain[at + k] - plain[at]) >= k
-        if bitmap is not None:
-            ok &= bitmap[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
-        doc, place, at, hashes = doc[ok], place[ok], at[ok], hashes[ok]
-        if len(doc):
-            slots = np.where(kind == PLAIN, np.uint64(0), own)[at[:, None] + np.arange(k)] if len(at) else \
-                np.zeros((0, k), np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc + t.first)), pa.array(place.astype(np.int32)),
-                 pa.array(np.full(len(doc), k, np.int32)), pa.array(hashes.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, k, dtype=np.int32)),
-                                          pa.array(slots.view(np.int64).ravel())),
-                 pa.array(np.diff(woff)[doc].astype(np.int32))],
-                names=["id", "first", "k", "hash", "slots", "n"])
+        for words, verbatim in ((own, True), (code, False)):
+            hashes, offsets = window_hashes(words, woff, k)
+            doc = np.repeat(np.arange(t.n), np.diff(offsets))
+            place = np.arange(len(hashes)) - offsets[doc]
+            at = woff[doc] + place
+            n_plain = plain[at + k] - plain[at]
+            ok = np.ones(len(hashes), bool) if verbatim else (2 * n_plain >= k) & (n_plain < k)
+            if bitmap is not None:
+                ok &= bitmap[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+            doc, place, at, hashes = doc[ok], place[ok], at[ok], hashes[ok]
+            if len(doc):
+                slots = np.zeros((len(at), k), np.uint64) if verbatim else \
+                    np.where(kind == PLAIN, np.uint64(0), own)[at[:, None] + np.arange(k)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc + t.first)), pa.array(place.astype(np.int32)),
+                     pa.array(np.full(len(doc), k, np.int32)), pa.array(hashes.view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, k, dtype=np.int32)),
+                                              pa.array(slots.view(np.int64).ravel())),
+                     pa.array(np.diff(woff)[doc].astype(np.int32))],
+                    names=["id", "first", "k", "hash", "slots", "n"])
 
 
 _KIND = "id long, first int, k int, hash long, slots array<long>, n int"
@@ -169,10 +174,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .withColumn("words", F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)) \
         .groupBy("doc_id", "item_id", "n", (F.col("at") - F.col("first")).alias("shift")).agg(
             F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"),
-            F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i")))) \
-        & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
-    held = lined.where(one_to_one).groupBy("doc_id", "item_id", "n").agg(
+            F.array_distinct(F.flatten(F.collect_set("words"))).alias("any"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(F.size("pair") == 0, F.col("words"))))).alias("verbatim"))
+    agree = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i")))
+    counted = lined.withColumn("words", F.when(agree, F.col("any")).otherwise(F.col("verbatim")))
+    held = counted.where(F.size("words") > 0).groupBy("doc_id", "item_id", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("words"),
         F.min(F.col("shift") + F.array_min("words")).alias("first_word"),
         F.max(F.col("shift") + F.array_max("words")).alias("last_word"))
