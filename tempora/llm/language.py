@@ -18,7 +18,8 @@ host.
 Scale: texts are read once for the model and once for the pages, never shuffled; what
 is shuffled is one small row a page and partial sums by host; a host with a third of
 the pages is one row after partial sums, joined back by a plain join that Spark
-splits.  The driver holds the model: at most ``LANGUAGES`` x ``SLOTS`` counts.
+splits.  The driver holds the model: ``SLOTS`` counts for each language of the texts,
+however many there are; a task holds those of the languages it meets.
 
 Edge cases: null or empty markup has no text evidence; no declaration, an unknown one
 or none in the address is a value of its own; a null url has the empty host; ties go
@@ -37,7 +38,7 @@ from .tables import Scratch
 from .text import LOWER, Texts, mix, slices
 from .url_trust import with_parts
 
-SLOTS, LANGUAGES, EVIDENCE, KAPPA = 1 << 14, 64, 60.0, 10.0
+SLOTS, EVIDENCE, KAPPA = 1 << 14, 60.0, 10.0
 
 
 def _trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +59,21 @@ def _count(languages: list[str]):
     at = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
-        total = np.zeros((len(languages), SLOTS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             lang = np.array([at.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
             for t in slices(b.column(0)):
                 doc, slot = _trigrams(t)
                 own = lang[doc + t.first]
-                total += np.bincount(own[own >= 0] * SLOTS + slot[own >= 0],
-                                     minlength=total.size).reshape(total.shape)
-        i, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(slot), pa.array(total[i, slot])],
-                                         names=["lang", "slot", "n"])
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                for i, part in zip(found.tolist(), np.split(slot[order], first[1:])):
+                    if i >= 0:
+                        total[i] = total.get(i, 0) + np.bincount(part, minlength=SLOTS)
+        for i, counts in total.items():
+            held = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i)), pa.array(held), pa.array(counts[held])],
+                                             names=["lang", "slot", "n"])
     return run
 
 
@@ -77,10 +82,9 @@ class TextModel:
 
     def fit(self, texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
         known = texts.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.lower(lang_col).alias("l"))
-        top = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-        self.languages = sorted(r["l"] for r in top)
+        self.languages = sorted(r["l"] for r in known.select("l").distinct().collect())
         counts = known.mapInArrow(_count(self.languages), "lang long, slot long, n long") \
-            .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # <= LANGUAGES x SLOTS
+            .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # <= languages x SLOTS
         total = np.full((len(self.languages), SLOTS), 0.5)
         total[counts["lang"].to_numpy(np.int64), counts["slot"].to_numpy(np.int64)] += counts["n"].to_numpy(float)
         self.table = np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32)
