@@ -2,7 +2,8 @@
 
 Three steps.  (1) Voters: fixed lexicons and patterns, and lexicons mined from the
 labelled learning rows - words and word beginnings, hashed to ``SLOTS`` slots, whose
-share of toxic rows is far above the overall share, dealt into ``MINED`` voters.  A
+odds of toxic rows are ``ODDS`` times the overall odds or more (an odds ratio, so that
+signs pass at any overall share), dealt into ``MINED`` voters.  A
 voter fires on a text or abstains; one more voter fires on texts without any mined
 sign.  (2) A generative label model: latent class with one firing rate a voter and
 class, fitted by expectation maximisation over the counts of firing patterns of all
@@ -19,7 +20,7 @@ a score.
 
 Scale: every step is one pass over the texts without a shuffle of texts; sign counts
 are summed in a task before they are shuffled (``SLOTS`` rows a task at most); the
-driver holds at most ``SIGNS`` signs, 2^(voters) patterns and the sample.  Labels are
+driver holds the signs that pass (``SLOTS`` at most), 2^(voters) patterns and the sample.  Labels are
 broadcast up to ``LABEL_ROWS`` rows; beyond that the same join shuffles.
 
 Edge cases: null and empty texts have no sign and get the score of a text without
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from .text import Texts, mix, slices
 from .decontam import PUNCTUATION
 
-SLOTS, MINED, SIGNS, SAMPLE, LABEL_ROWS = 1 << 21, 8, 20_000, 8_000, 2_000_000
-SUPPORT, Z_LEAST, LIFT = 4, 4.0, 3.0
+SLOTS, MINED, SAMPLE, LABEL_ROWS = 1 << 21, 8, 8_000, 2_000_000
+SUPPORT, Z_LEAST, ODDS = 4, 4.0, 3.0
 
 # Insults, by kind.
 LEXICONS = {
@@ -214,9 +215,9 @@ class ToxicityModel:
         size = rows.where("gold is not null").agg(F.count(F.lit(1)), F.sum("gold")).first()
         p = (size[1] or 0) / max(1, size[0])
         z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) + 1e-9)
-        best = counted.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= LIFT * p * F.col("n"))
-                             & F.lit(0 < p < 1)).withColumn("z", z).where(F.col("z") >= Z_LEAST) \
-            .orderBy(F.desc("z"), "slot").limit(SIGNS).toPandas()
+        odds = F.col("toxic") * (1 - p) >= ODDS * p * (F.col("n") - F.col("toxic"))
+        best = counted.where((F.col("toxic") >= SUPPORT) & odds & F.lit(0 < p < 1)).where(z >= Z_LEAST) \
+            .select("slot").toPandas()
         self.slots = np.sort(best["slot"].to_numpy(np.int64))
         voter_of = np.zeros(SLOTS, np.int8)
         voter_of[self.slots] = 1 + (mix(self.slots.astype(np.uint64)) % np.uint64(MINED)).astype(np.int8)
