@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, near_dedup, packing, quality, substring, token_store, toxicity, url_trust
+from . import decontam, language, licenses, near_dedup, packing, quality, spelling, substring, token_store, toxicity, \
+    url_trust
 from .tables import Scratch, documents as table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
@@ -69,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), model)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -87,7 +92,45 @@ comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
 SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN comp ON v = doc_id
 """
 
+# crc32 by its table; near words by what is left when a code point is deleted
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+found AS (SELECT r, id, hex(id || ':' || r) AS h, count(*) AS n FROM runs GROUP BY id, r),
+hashed AS (
+  SELECT r, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(h) // 2),
+           lambda i: 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1)
+                     + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)),
+           lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256]))) AS crc FROM found, bits),
+words AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(r, 1, crc % length(r)) || substr(r, crc % length(r) + 2) ELSE r END AS w,
+         CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY w HAVING length(w) >= 5 AND sum(n) >= 3),
+less AS (
+  SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v
+  FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.w AS w, b.w AS o FROM less a JOIN words b ON a.v = b.w
+  UNION SELECT b.w, a.w FROM less a JOIN words b ON a.v = b.w
+  UNION SELECT a.w, b.w FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.w <> b.w),
+near AS (
+  SELECT p.w AS w, count(*) AS n_near, max(x.n) AS best,
+         arg_min(p.o, {'less': -x.n, 'form': hex(p.o)}) AS form
+  FROM pairs p JOIN words x ON x.w = p.o GROUP BY p.w),
+forms AS (
+  SELECT words.w AS word, CASE WHEN best >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN best >= 2 * n THEN best END AS form_n FROM words LEFT JOIN near ON near.w = words.w),
+chain(word, cur, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.cur AND forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(cur, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_substring_dedup, op3_packing, op4_license_scan, op5_url_trust, op6_decontamination, op7_toxicity,
-    op8_quality_rules, op9_token_store, op10_language)}
-SQL = {"op1_near_dedup": OP1_SQL}
+    op8_quality_rules, op9_token_store, op10_language, op11_spelling_variants)}
+SQL = {"op1_near_dedup": OP1_SQL, "op11_spelling_variants": OP11_SQL}

