@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .tables import Scratch
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, ONE_IN = 5, 3, 2, 97
-GROUPS, STEP, NODE, SEARCHES, LEAF = 16, 4, 8192, 65536, 24
+GROUPS, STEP, NODE, SEARCHES, LEAF = 16, 4, 20_000, 40_000, 24
 RUNS, KEEP, WIDE, PAIRS = 100_000, 400_000, 32, 1 << 16
 # U+00C0-U+00FF are the byte pairs C3 80 - C3 BF
 _RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
@@ -96,8 +96,9 @@ class _Words:
         self.size = np.array([len(w) for w in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         row = np.repeat(np.arange(len(raw)), self.size)
-        self.vec = np.bincount(row * GROUPS + flat % GROUPS, minlength=len(raw) * GROUPS) \
-            .reshape(-1, GROUPS).astype(np.int32)
+        #: groups x words; words of 127 letters or more need wider counts
+        self.vec = np.ascontiguousarray(np.bincount(row * GROUPS + flat % GROUPS, minlength=len(raw) * GROUPS).reshape(
+            -1, GROUPS).T.astype(np.int8 if self.size.max(initial=0) < 127 else np.int32))
         self.left = np.frombuffer(b"".join(w[:WIDE].ljust(WIDE, b"\0") for w in raw), np.uint8).reshape(-1, WIDE)
         self.right = np.frombuffer(b"".join(w[::-1][:WIDE].ljust(WIDE, b"\0") for w in raw), np.uint8).reshape(-1, WIDE)
 
@@ -143,11 +144,11 @@ class _Search:
                 for w in range(0, len(words), LEAF):
                     self.leaf(group, words[w: w + LEAF], q, s, d)
             return
-        counts = self.own.vec[words, group]
+        counts = self.own.vec[group, words]
         order = np.argsort(counts, kind="stable")
         words, counts = words[order], counts[order]
         edges = np.concatenate([[0], np.flatnonzero(counts[1:] != counts[:-1]) + 1, [len(words)]])
-        mine = self.asked.vec[queries, group]
+        mine = self.asked.vec[group, queries]
         for lo, hi in zip(edges[:-1], edges[1:]):
             more = counts[lo] - mine  # what the child has over the query
             go = (more >= -deficit) & (more <= surplus)
@@ -156,13 +157,15 @@ class _Search:
                 self.down(group + 1, words[lo:hi], queries[go], surplus[go] - (more > 0), deficit[go] - (more < 0))
 
     def leaf(self, group, words, queries, surplus, deficit):
-        over = np.zeros((len(queries), len(words)), np.int32)
-        under = np.zeros_like(over)
+        # pairs whose lengths are too far apart, then group by group those out of budget
+        left = self.own.size[words][None, :] - self.asked.size[queries][:, None]
+        i, j = np.nonzero((left <= 1) & (left >= -1))
+        s, d = surplus[i], deficit[i]
         for g in range(group, GROUPS):
-            more = self.own.vec[words, g][None, :] - self.asked.vec[queries, g][:, None]
-            over += np.maximum(more, 0)
-            under += np.maximum(-more, 0)
-        i, j = np.nonzero((over <= surplus[:, None]) & (under <= deficit[:, None]))
+            more = self.own.vec[g, words[j]] - self.asked.vec[g, queries[i]]
+            s, d = s - np.maximum(more, 0), d + np.minimum(more, 0)
+            ok = (s >= 0) & (d >= 0)
+            i, j, s, d = i[ok], j[ok], s[ok], d[ok]
         self.held.append((queries[i], words[j]))
         self.size += len(i)
         if self.size >= PAIRS:
@@ -208,77 +211,82 @@ def _counts(batches):
     """Adds letter counts to (word, n)."""
     for b in batches:
         if b.num_rows:
-            vec = _Words(b.column(0).to_pylist()).vec
+            vec = np.ascontiguousarray(_Words(b.column(0).to_pylist()).vec.T.astype(np.int32))
             at = pa.array(np.arange(0, vec.size + 1, GROUPS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(vec.ravel()))],
                                              names=["word", "n", "vec"])
 
 
 def _steps():
-    """All ways to spend at most one surplus and one deficit in ``STEP`` groups."""
+    """All ways to spend at most one surplus and one deficit in ``STEP`` groups: what is
+    spent, and the change of each count."""
     moves = [[0] * STEP]
     for i in range(STEP):
         moves += [[int(k == i) for k in range(STEP)], [-int(k == i) for k in range(STEP)]]
         moves += [[int(k == i) - int(k == j) for k in range(STEP)] for j in range(STEP) if j != i]
-    return F.array(*[F.struct(F.array(*map(F.lit, m)).alias("by"), F.lit(m.count(1)).alias("s"),
-                              F.lit(m.count(-1)).alias("d")) for m in moves])
+    return F.array(*[F.struct(F.lit(m.count(1)).alias("s"), F.lit(m.count(-1)).alias("d"),
+                              *[F.lit(x).alias(f"by{k}") for k, x in enumerate(m)]) for m in moves])
 
 
-def _prefix(depth):
-    return F.slice("vec", 1, depth * STEP)
+ROOT = 0
 
 
-def _nodes(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
-    """``depth, prefix, size`` of the trie's upper nodes, at every cut."""
-    cuts = F.explode(F.sequence(F.lit(0), F.lit(GROUPS // STEP))).alias("depth")
-    return scratch.put(vocabulary.select("vec", cuts).select("depth", _prefix(F.col("depth")).alias("prefix"))
-                       .groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("size")), "nodes")
+def _child(node, depth: int, by: str | None = None):
+    """The node below ``node`` (at cut ``depth``) on a word's way down: a hash of the
+    counts so far (nodes are told apart by 64 bits; a clash would cost time only, as
+    pairs are verified).  With ``by``, the counts are changed by a step."""
+    counts = [F.get("vec", F.lit(depth * STEP + k)) for k in range(STEP)]
+    return F.xxhash64(node, *[c if by is None else c + F.col(f"{by}.by{k}") for k, c in enumerate(counts)])
 
 
 def near_words(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
     """``word, n_near, near_n, near`` of all words with a near word in ``vocabulary (word,
     n)``: how many, and the most frequent one."""
-    vocabulary = scratch.put(vocabulary.mapInArrow(_counts, "word string, n long, vec array<int>"), "letters")
     last = GROUPS // STEP
-    nodes = _nodes(vocabulary, scratch)
+    vocabulary = vocabulary.mapInArrow(_counts, "word string, n long, vec array<int>")
+    vocabulary = vocabulary.withColumn("node0", F.lit(ROOT).cast("long"))
+    for depth in range(last):
+        vocabulary = vocabulary.withColumn(f"node{depth + 1}", _child(F.col(f"node{depth}"), depth))
+    vocabulary = scratch.put(vocabulary, "letters")
+    way = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"node{d}").alias("node"))
+                              for d in range(last + 1)])).alias("at")
+    nodes = scratch.put(vocabulary.select(way).groupBy("at.depth", "at.node").agg(F.count(F.lit(1)).alias("size")), "nodes")
     ends = (F.col("size") <= NODE) | (F.col("depth") == last)
     # where each word is: the first node on its way down that is small enough
-    way = vocabulary.select("word", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix"))
-                                                             for d in range(last + 1)])).alias("at"))
-    placed = way.select("word", "n", "at.depth", "at.prefix").join(nodes.where(ends), ["depth", "prefix"]) \
-        .groupBy("word", "n").agg(F.min(F.struct("depth", "prefix", "size")).alias("at")).select("word", "n", "at.*")
+    placed, above = None, vocabulary
     # the searches walk down through the nodes that are too large
-    front = vocabulary.select("word", "vec", F.lit(0).alias("depth"), F.slice("vec", 1, 0).alias("prefix"),
-                              F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
+    front = vocabulary.select("word", "vec", F.col("node0").alias("node"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
     reached = None
     for depth in range(last + 1):
-        here = nodes.where(F.col("depth") == depth).select("prefix", "size", ends.alias("end"))
-        met = scratch.put(front.join(here, "prefix"), f"front{depth}")
-        done = met.where("end").select("word", "depth", "prefix", "size", "surplus", "deficit")
+        here = nodes.where(F.col("depth") == depth).select("node", "size", ends.alias("end"))
+        level = above.join(here.withColumnRenamed("node", f"node{depth}"), f"node{depth}")
+        mine = level.where("end").select("word", "n", F.lit(depth).alias("depth"), F.col(f"node{depth}").alias("node"), "size")
+        placed = mine if placed is None else placed.unionByName(mine)
+        above = level.where("not end").select(*vocabulary.columns)
+        met = scratch.put(front.join(here, "node").withColumn("vec", F.when(~F.col("end"), F.col("vec"))), f"front{depth}")
+        done = met.where("end").select("word", F.lit(depth).alias("depth"), "node", "size", "surplus", "deficit")
         reached = done if reached is None else reached.unionByName(done)
         on = met.where("not end")
         if depth == last or on.isEmpty():
             break
-        part = F.slice("vec", depth * STEP + 1, STEP)
-        moved = F.zip_with(part, F.col("m.by"), lambda c, by: c + by)
         front = on.select("*", F.explode(_steps()).alias("m")) \
-            .where("m.s <= surplus and m.d <= deficit").withColumn("moved", moved) \
-            .where(F.forall("moved", lambda c: c >= 0)) \
-            .select("word", "vec", F.lit(depth + 1).alias("depth"), F.concat("prefix", "moved").alias("prefix"),
+            .where(" and ".join(["m.s <= surplus", "m.d <= deficit",
+                                 *[f"vec[{depth * STEP + k}] + m.by{k} >= 0" for k in range(STEP)]])) \
+            .select("word", "vec", _child(F.col("node"), depth, "m").alias("node"),
                     (F.col("surplus") - F.col("m.s")).alias("surplus"), (F.col("deficit") - F.col("m.d")).alias("deficit"))
     # large nodes in blocks of words, many searches in parts
-    parts = scratch.put(reached.groupBy("depth", "prefix").agg(
+    parts = scratch.put(reached.groupBy("depth", "node").agg(
         F.ceil(F.count(F.lit(1)) / SEARCHES).cast("int").alias("parts")), "parts")
     blocks = F.ceil(F.col("size") / NODE).cast("int")
-    own = placed.join(parts, ["depth", "prefix"]) \
+    own = placed.join(parts, ["depth", "node"]) \
         .withColumn("block", F.pmod(F.xxhash64("word"), blocks).cast("int")) \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = reached.join(parts, ["depth", "prefix"]) \
+    asked = reached.join(parts, ["depth", "node"]) \
         .withColumn("part", F.pmod(F.xxhash64("word", F.lit("part")), F.col("parts")).cast("int")) \
         .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    key = F.concat_ws(",", F.concat(F.array("depth", "block", "part"), F.col("prefix")).cast("array<string>")).alias("cell")
-    found = own.select(key, "word", "n", "depth").groupBy("cell").cogroup(
-        asked.select(key, "word", "surplus", "deficit").groupBy("cell")).applyInPandas(
+    cell = ["depth", "node", "block", "part"]
+    found = own.select(*cell, "word", "n").groupBy(*cell).cogroup(
+        asked.select(*cell, "word", "surplus", "deficit").groupBy(*cell)).applyInPandas(
         _search, "word string, n_near long, near_n long, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best) \
