@@ -127,13 +127,16 @@ class _Search:
     """All searches of one node, together: at each trie node the searches that got
     there go on to the children that their budgets reach."""
 
-    def __init__(self, own: _Words, n: np.ndarray, asked: _Words):
-        self.own, self.n, self.asked = own, n, asked
-        self.n_near = np.zeros(len(asked.text), np.int64)
-        self.best = np.full(len(asked.text), -1, np.int64)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, own: _Words, n_own: np.ndarray, asked: _Words, n_asked: np.ndarray):
+        self.own, self.asked = own, asked
+        # the node's words first, then the searches: what each has found
+        self.text = np.array(own.text + asked.text, object)
+        self.n = np.concatenate([n_own, n_asked])
+        self.rank = np.unique(self.text, return_inverse=True)[1]  # latin-1: code-point order
+        self.n_near = np.zeros(len(self.text), np.int64)
+        self.best = np.full(len(self.text), -1, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
-        self.rank = np.argsort(np.argsort(np.array(own.text, object)))  # latin-1: code-point order
 
     def down(self, group: int, words: np.ndarray, queries: np.ndarray, surplus: np.ndarray, deficit: np.ndarray):
         if not len(words) or not len(queries):
@@ -149,9 +152,10 @@ class _Search:
         words, counts = words[order], counts[order]
         edges = np.concatenate([[0], np.flatnonzero(counts[1:] != counts[:-1]) + 1, [len(words)]])
         mine = self.asked.vec[group, queries]
+        least = np.where(surplus > 0, 0, -deficit)  # the surplus is spent first
         for lo, hi in zip(edges[:-1], edges[1:]):
             more = counts[lo] - mine  # what the child has over the query
-            go = (more >= -deficit) & (more <= surplus)
+            go = (more >= least) & (more <= surplus)
             if go.any():
                 more = more[go]
                 self.down(group + 1, words[lo:hi], queries[go], surplus[go] - (more > 0), deficit[go] - (more < 0))
@@ -163,10 +167,10 @@ class _Search:
         s, d = surplus[i], deficit[i]
         for g in range(group, GROUPS):
             more = self.own.vec[g, words[j]] - self.asked.vec[g, queries[i]]
-            s, d = s - np.maximum(more, 0), d + np.minimum(more, 0)
-            ok = (s >= 0) & (d >= 0)
-            i, j, s, d = i[ok], j[ok], s[ok], d[ok]
-        self.held.append((queries[i], words[j]))
+            ok = (more >= np.where(s > 0, 0, -d)) & (more <= s)
+            i, j, s, d, more = i[ok], j[ok], s[ok], d[ok], more[ok]
+            s, d = s - (more > 0), d - (more < 0)
+        self.held.append((queries[i], words[j], s == 0))
         self.size += len(i)
         if self.size >= PAIRS:
             self.verify()
@@ -174,37 +178,40 @@ class _Search:
     def verify(self):
         if not self.size:
             return
-        i, j = (np.concatenate(x) for x in zip(*self.held))
+        i, j, mutual = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         for at in range(0, len(i), PAIRS):
-            q, w = i[at: at + PAIRS], j[at: at + PAIRS]
+            q, w, both = i[at: at + PAIRS], j[at: at + PAIRS], mutual[at: at + PAIRS]
             ok = _near(self.asked, q, self.own, w)
-            q, w = q[ok], w[ok]
-            np.add.at(self.n_near, q, 1)
-            order = np.lexsort((self.rank[w], -self.n[w], q))
-            q, w = q[order], w[order]
-            first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-            q, w = q[first], w[first]
-            old = self.best[q]
-            better = (old < 0) | (self.n[w] > self.n[old]) | ((self.n[w] == self.n[old]) & (self.rank[w] < self.rank[old]))
-            self.best[q[better]] = w[better]
+            q, w, both = q[ok] + len(self.own.text), w[ok], both[ok]
+            self.credit(np.concatenate([q, w[both]]), np.concatenate([w, q[both]]))
+
+    def credit(self, word: np.ndarray, near: np.ndarray):
+        """Counts ``near`` for ``word``, and keeps the most frequent one."""
+        np.add.at(self.n_near, word, 1)
+        old = self.best[word]
+        word, near = np.concatenate([word, word[old >= 0]]), np.concatenate([near, old[old >= 0]])
+        order = np.lexsort((self.rank[near], -self.n[near], word))
+        word, near = word[order], near[order]
+        first = np.ones(len(word), bool)
+        first[1:] = word[1:] != word[:-1]
+        self.best[word[first]] = near[first]
 
 
 def _search(cell, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The words of one node against the searches that reached it."""
-    out = {"word": np.zeros(0, object), "n_near": [], "near_n": [], "near": np.zeros(0, object)}
+    """The words of one node against the searches that reached it: what both found."""
+    words, n_near, near = (np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, object))
+    near_n = n_near
     if len(own) and len(asked):
-        mine, queries = _Words(own["word"]), _Words(asked["word"])
-        n = own["n"].to_numpy(np.int64)
-        run = _Search(mine, n, queries)
-        run.down(int(own["depth"].iloc[0]) * STEP, np.arange(len(n)), np.arange(len(asked)),
+        run = _Search(_Words(own["word"]), own["n"].to_numpy(np.int64), _Words(asked["word"]), asked["n"].to_numpy(np.int64))
+        run.down(int(own["depth"].iloc[0]) * STEP, np.arange(len(own)), np.arange(len(asked)),
                  asked["surplus"].to_numpy(np.int64), asked["deficit"].to_numpy(np.int64))
         run.verify()
         got = np.flatnonzero(run.n_near)
         best = run.best[got]
-        out = {"word": np.array(queries.text, object)[got], "n_near": run.n_near[got], "near_n": n[best],
-               "near": np.array(mine.text, object)[best]}
-    return pd.DataFrame({c: pd.Series(x, dtype=object if c in ("word", "near") else "int64") for c, x in out.items()})
+        words, n_near, near_n, near = run.text[got], run.n_near[got], run.n[best], run.text[best]
+    return pd.DataFrame({"word": pd.Series(words, dtype=object), "n_near": n_near, "near_n": near_n,
+                         "near": pd.Series(near, dtype=object)})
 
 
 def _counts(batches):
@@ -219,12 +226,13 @@ def _counts(batches):
 
 def _steps():
     """All ways to spend at most one surplus and one deficit in ``STEP`` groups: what is
-    spent, and the change of each count."""
+    spent, whether the surplus has to be spent before, and the change of each count."""
     moves = [[0] * STEP]
     for i in range(STEP):
         moves += [[int(k == i) for k in range(STEP)], [-int(k == i) for k in range(STEP)]]
         moves += [[int(k == i) - int(k == j) for k in range(STEP)] for j in range(STEP) if j != i]
     return F.array(*[F.struct(F.lit(m.count(1)).alias("s"), F.lit(m.count(-1)).alias("d"),
+                              F.lit(-1 in m and 1 not in m[: m.index(-1)]).alias("late"),
                               *[F.lit(x).alias(f"by{k}") for k, x in enumerate(m)]) for m in moves])
 
 
@@ -255,7 +263,7 @@ def near_words(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
     # where each word is: the first node on its way down that is small enough
     placed, above = None, vocabulary
     # the searches walk down through the nodes that are too large
-    front = vocabulary.select("word", "vec", F.col("node0").alias("node"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
+    front = vocabulary.select("word", "n", "vec", F.col("node0").alias("node"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
     reached = None
     for depth in range(last + 1):
         here = nodes.where(F.col("depth") == depth).select("node", "size", ends.alias("end"))
@@ -264,15 +272,15 @@ def near_words(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
         placed = mine if placed is None else placed.unionByName(mine)
         above = level.where("not end").select(*vocabulary.columns)
         met = scratch.put(front.join(here, "node").withColumn("vec", F.when(~F.col("end"), F.col("vec"))), f"front{depth}")
-        done = met.where("end").select("word", F.lit(depth).alias("depth"), "node", "size", "surplus", "deficit")
+        done = met.where("end").select("word", "n", F.lit(depth).alias("depth"), "node", "size", "surplus", "deficit")
         reached = done if reached is None else reached.unionByName(done)
         on = met.where("not end")
         if depth == last or on.isEmpty():
             break
         front = on.select("*", F.explode(_steps()).alias("m")) \
-            .where(" and ".join(["m.s <= surplus", "m.d <= deficit",
+            .where(" and ".join(["m.s <= surplus", "m.d <= deficit", "(not m.late or surplus = 0)",
                                  *[f"vec[{depth * STEP + k}] + m.by{k} >= 0" for k in range(STEP)]])) \
-            .select("word", "vec", _child(F.col("node"), depth, "m").alias("node"),
+            .select("word", "n", "vec", _child(F.col("node"), depth, "m").alias("node"),
                     (F.col("surplus") - F.col("m.s")).alias("surplus"), (F.col("deficit") - F.col("m.d")).alias("deficit"))
     # large nodes in blocks of words, many searches in parts
     parts = scratch.put(reached.groupBy("depth", "node").agg(
@@ -286,7 +294,7 @@ def near_words(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
         .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cell = ["depth", "node", "block", "part"]
     found = own.select(*cell, "word", "n").groupBy(*cell).cogroup(
-        asked.select(*cell, "word", "surplus", "deficit").groupBy(*cell)).applyInPandas(
+        asked.select(*cell, "word", "n", "surplus", "deficit").groupBy(*cell)).applyInPandas(
         _search, "word string, n_near long, near_n long, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best) \
