@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, near_dedup, packing, quality, spelling, substring, token_store, toxicity, \
-    url_trust
+from . import alignment, decontam, fingerprints, language, licenses, near_dedup, packing, quality, spelling, substring, \
+    token_store, toxicity, url_trust
 from .tables import Scratch, documents as table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
@@ -74,6 +74,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -132,5 +143,6 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_substring_dedup, op3_packing, op4_license_scan, op5_url_trust, op6_decontamination, op7_toxicity,
-    op8_quality_rules, op9_token_store, op10_language, op11_spelling_variants)}
+    op8_quality_rules, op9_token_store, op10_language, op11_spelling_variants,
+    op12_token_alignment, op13_fingerprints)}
 SQL = {"op1_near_dedup": OP1_SQL, "op11_spelling_variants": OP11_SQL}

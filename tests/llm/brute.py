@@ -1,5 +1,6 @@
 """Plain Python versions of what the operators compute."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -82,3 +83,46 @@ def _one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
     return len(a) + 1 == len(b) and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def alignments(rows, path_a, path_b):
+    """Per row what its tokens' alignment gives, by comparing all pairs of tokens."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(path_a)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(x): x for x in printable}
+    back |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in printable)}
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+
+    docs, counts = [], Counter()
+    for _, text in rows:
+        raw = (" " + (text or "")).encode()
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        bytes_a = [bytes(back[c] for c in a.id_to_token(i)) for i in ids_a]
+        bytes_b = [piece(i) for i in ids_b]
+        if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+            docs.append(None)
+            continue
+        ends_a, ends_b = ([sum(map(len, x[:k + 1])) for k in range(len(x))] for x in (bytes_a, bytes_b))
+        both = sorted(set(ends_a) & set(ends_b))
+        groups = ";".join(",".join(str(i) for i, e in zip(ids_a, ends_a) if lo < e <= hi) + "|"
+                          + ",".join(str(i) for i, e in zip(ids_b, ends_b) if lo < e <= hi)
+                          for lo, hi in zip([0, *both], both))
+        links = [(x, y) for x, e, s in zip(ids_a, ends_a, [0, *ends_a]) for y, f, t in zip(ids_b, ends_b, [0, *ends_b])
+                 if max(s, t) < min(e, f)]
+        counts.update(links)
+        docs.append((len(ids_a), len(ids_b), len(both), links, hashlib.sha256(groups.encode()).hexdigest()))
+    most = {}
+    for (_, y), n in counts.items():
+        most[y] = max(most.get(y, 0), n)
+    return [(i, *(0,) * 6, "") if d is None else
+            (i, *d[:3], len(d[3]), sum(counts[x] == most[x[1]] for x in d[3]), sum(counts[x] for x in d[3]), d[4])
+            for (i, _), d in zip(rows, docs)]
