@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 from .tokens import Encoder
 
-SLICE, CACHE = 1 << 22, 1_000_000
+SLICE, CACHE = 1 << 20, 400_000
 #: all white space of Unicode and what Python adds to it (RE2's \s has ASCII only)
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
