@@ -9,13 +9,16 @@ averages: ``observed`` (classes present in truth ∪ prediction of the group) or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
-from .ranking import join_null_safe, row_number_within, running_total
+from .ranking import join_null_safe, running_total
+from .selection import Rank, rows_at
 
 
 def _w(weight: str | None) -> Column:
@@ -252,31 +255,26 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                                   F.col("__ap") / F.col("__P")).alias("average_precision"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float | Column, by: Sequence[str] = (),
+def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
                    out: str = "quantile") -> DataFrame:
-    """Linear-interpolated quantile (NumPy's default) per group, from exact ranks
-    (a range sort) rather than an in-memory value list per group."""
-    keyed = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    """Linear-interpolated quantile (NumPy's default) per group, between the two rows at
+    the exact ranks, which histograms select (no sort).  Nulls are ignored; the driver
+    holds one row a group.  A single group without values gives null."""
     g = list(by)
-    qc = q if isinstance(q, Column) else F.lit(float(q))
-    ranked = row_number_within(keyed, g, ["__v"], out="__rk")
-    if g:
-        n = keyed.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-        pos = n.withColumn("__h", (F.col("__n") - 1).cast("double") * qc)
-        pos = pos.withColumn("__lo", F.floor("__h").cast("long") + 1) \
-            .withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n")))
-        picked = ranked.join(pos, g)
-    else:  # one group: its size is a number, the two ranks are literals
-        n = keyed.count()
-        h = (n - 1) * float(q) if not isinstance(q, Column) else None
-        if h is None:
-            raise ValueError("a Column quantile needs group columns")
-        lo = int(h // 1) + 1
-        picked = ranked.withColumn("__h", F.lit(h)).withColumn("__lo", F.lit(lo)) \
-            .withColumn("__hi", F.lit(min(lo + 1, n)))
-    picked = picked.where((F.col("__rk") == F.col("__lo")) | (F.col("__rk") == F.col("__hi")))
-    agg = picked.groupBy(*g).agg(
-        F.max(F.when(F.col("__rk") == F.col("__lo"), F.col("__v"))).alias("__a"),
-        F.max(F.when(F.col("__rk") == F.col("__hi"), F.col("__v"))).alias("__b"),
-        F.first(F.col("__h") - (F.col("__lo") - 1)).alias("__t"))
-    return agg.select(*g, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__t")).alias(out))
+    own = df.select(*g, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    sizes = own.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).collect()
+    asked, at = [], {}
+    for r in sizes:
+        group, h = tuple(r[: len(g)]), (r["n"] - 1) * float(q)
+        at[group] = h
+        asked += [Rank((group, k), min(math.floor(h) + 1 + k, r["n"]), group) for k in (0, 1)]
+    rows = rows_at(own, ["__v"], asked, g)
+
+    def quantile(group, h):
+        if (group, 0) not in rows:
+            return None
+        a, b = rows[(group, 0)][0], rows[(group, 1)][0]
+        return a + (b - a) * (h - math.floor(h))
+
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in g], T.StructField(out, T.DoubleType())])
+    return df.sparkSession.createDataFrame([(*group, quantile(group, h)) for group, h in at.items()], schema)

@@ -100,52 +100,3 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str],
     ranked = running_total(df.withColumn(one, F.lit(1).cast("long")), group_cols,
                            order_cols, [one], partitions=partitions)
     return ranked.withColumnRenamed(one + "_cum", out).drop(one)
-
-
-def assign_by_rank_cuts(df: DataFrame, group_cols: Sequence[str], coarse: str | Column,
-                        fine_cols: Sequence[str | Column], cuts: DataFrame,
-                        labels: Sequence[str], out: str = "part") -> DataFrame:
-    """Label rows by their rank inside a group without ranking every row.
-
-    ``cuts`` holds ``group_cols`` plus ``cuts: array<bigint>`` — non-decreasing
-    cumulative upper ranks; a row of rank r gets ``labels[i]`` for the first i with
-    ``r <= cuts[i]`` (the last label takes the rest).  Rows are ordered by
-    ``coarse`` then ``fine_cols``; ``coarse`` must be a prefix of that order
-    (a date, a hash prefix).  A histogram on (group, coarse) — a map-side
-    combined aggregation — places whole coarse buckets; only the few buckets that
-    straddle a cut are ranked exactly (scalably, see ``row_number_within``).
-    """
-    g = list(group_cols)
-    coarse_col = coarse if isinstance(coarse, Column) else F.col(coarse)
-    base = df.withColumn("__coarse", coarse_col)
-    hist = base.groupBy(*g, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per (group, coarse value), up to one per row for a unique coarse key, so
-    # its running count takes the range sort too
-    hist = running_total(hist, g, ["__coarse"], ["__n"]) \
-        .withColumn("__before", F.col("__n_cum") - F.col("__n")).drop("__n_cum")
-    if g:
-        hist = join_null_safe(hist, cuts.select(*g, F.col("cuts").alias("__cuts")), g)
-    else:  # one global group: its single cuts row is a literal, not a join
-        row = cuts.select("cuts").first()
-        hist = hist.withColumn("__cuts", F.array(*[F.lit(int(c)).cast("long") for c in row["cuts"]]))
-    n_labels = len(labels)
-
-    def label_of(rank: Column) -> Column:
-        # index of the first cut >= rank, else the last label
-        idx = F.array_position(F.transform("__cuts", lambda c: c >= rank), True)
-        return F.when(idx == 0, F.lit(n_labels - 1)).otherwise(idx - 1)
-
-    hist = (hist.withColumn("__first", label_of(F.col("__before") + 1))
-                .withColumn("__last", label_of(F.col("__before") + F.col("__n"))))
-    resolved = hist.select(*g, "__coarse", "__before", "__cuts",
-                           F.when(F.col("__first") == F.col("__last"), F.col("__first"))
-                           .alias("__lab"))
-    joined = join_null_safe(base, resolved, [*g, "__coarse"])
-    label_arr = F.array(*[F.lit(x) for x in labels])
-    whole = joined.where(F.col("__lab").isNotNull())
-    split = joined.where(F.col("__lab").isNull())
-    split = row_number_within(split, [*g, "__coarse"], list(fine_cols), out="__r")
-    split = split.withColumn("__lab", label_of(F.col("__before") + F.col("__r")))
-    out_df = whole.unionByName(split.drop("__r"))
-    out_df = out_df.withColumn(out, F.element_at(label_arr, (F.col("__lab") + 1).cast("int")))
-    return out_df.drop("__coarse", "__before", "__cuts", "__lab")

@@ -151,7 +151,7 @@ def openset_eval_df(spark, d):
     test = long.where(F.col("part").isin("known_test", "unknown_test")).withColumn(
         "role", F.when(F.col("part") == "unknown_test", "unknown").otherwise("known"))
     # fixed open-set label list: the known classes plus "unknown" = all classes
-    k = len(splits.class_list(_samples(spark, d), "label"))
+    k = _samples(spark, d).select("label").distinct().count()
     n_lab = thr.select("heldout", "method", F.lit(k).alias("n_labels"))
     return openset.evaluate(test, thr, n_lab)
 

@@ -176,12 +176,17 @@ def split_heldout_facts(spark, d):
 
 
 @register("kfold_assign", f"""
-WITH smp AS ({SAMPLES_SQL})
-SELECT sample_id, label,
-       CAST(floor((row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1) * 5
-                  / count(*) OVER (PARTITION BY label)) AS INTEGER) AS fold
-FROM smp
+WITH smp AS ({SAMPLES_SQL}),
+cls AS (SELECT label, count(*) AS n, min(sample_id) AS first FROM smp GROUP BY label),
+place AS (SELECT label, sum(n) OVER (ORDER BY first) - n AS s, sum(n) OVER (ORDER BY first) AS e FROM cls),
+share AS (SELECT label, fold, floor((e - 1 - fold) / 5) - floor((s - 1 - fold) / 5) AS m
+          FROM place, (SELECT unnest(range(5)) AS fold) f),
+upto AS (SELECT label, fold, sum(m) OVER (PARTITION BY label ORDER BY fold) AS hi,
+                sum(m) OVER (PARTITION BY label ORDER BY fold) - m AS lo FROM share),
+ranked AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS rk FROM smp)
+SELECT sample_id, r.label, CAST(fold AS INTEGER) AS fold
+FROM ranked r JOIN upto u ON r.label = u.label AND rk > lo AND rk <= hi
 """)
 def kfold_assign(spark, d):
-    """Stratified 5-fold assignment (contiguous blocks by id within class)."""
+    """Stratified 5-fold assignment with the library's fold sizes."""
     return splits.kfold(samples(spark, d).drop("date"), "sample_id", "label", 5)
