@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
+from ..session import cut_lineage
 from .ranking import join_null_safe, running_total
 from .selection import Rank, rows_at
 
@@ -261,14 +262,14 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
     the exact ranks, which histograms select (no sort).  Nulls are ignored; the driver
     holds one row a group.  A single group without values gives null."""
     g = list(by)
-    own = df.select(*g, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    own = cut_lineage(df.select(*g, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull()))
     sizes = own.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).collect()
     asked, at = [], {}
     for r in sizes:
         group, h = tuple(r[: len(g)]), (r["n"] - 1) * float(q)
         at[group] = h
         asked += [Rank((group, k), min(math.floor(h) + 1 + k, r["n"]), group) for k in (0, 1)]
-    rows = rows_at(own, ["__v"], asked, g)
+    rows = rows_at(own, ["__v"], asked, g, written=True)
 
     def quantile(group, h):
         if (group, 0) not in rows:

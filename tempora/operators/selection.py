@@ -70,12 +70,10 @@ def _dims(schema: T.StructType, order: Sequence[str]):
         elif isinstance(kind, T.TimestampType):
             out.append(("long", F.unix_micros(col)))
         elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            # magnitude first, so that few passes part values of any size; NaN comes last
             x = col.cast("double")
-            size = F.when(x == 0, 0).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x))) + 1100)).cast("long")
-            edge = F.when(F.isnan(x), 5000).when(F.abs(x) == float("inf"), F.signum(x) * 4000).cast("long")
-            out.append(("long", F.when(x.isNotNull(), F.coalesce(edge, size))))
-            out.append(("double", F.when(x.isNotNull(), F.when(edge.isNotNull(), F.lit(0.0)).otherwise(x))))
+            edge = F.when(F.isnan(x), 2).when(F.abs(x) == float("inf"), F.signum(x)).otherwise(0).cast("long")
+            out.append(("long", F.when(x.isNotNull(), edge)))  # infinities and NaN apart
+            out.append(("double", F.when(x.isNotNull(), F.when(edge == 0, x).otherwise(0.0))))
         else:
             out.append(("long", col.cast("long")))
 
@@ -113,9 +111,12 @@ def _same(a: pd.DataFrame, group: tuple) -> np.ndarray:
     return ok
 
 
-def rows_at(df: DataFrame, order: Sequence[str], asked: Sequence[Rank], groups: Sequence[str] = ()) -> dict:
+def rows_at(df: DataFrame, order: Sequence[str], asked: Sequence[Rank], groups: Sequence[str] = (),
+            written: bool = False) -> dict:
     """``{name: row}``: for each rank its row as a tuple of the ``order`` columns' values;
-    ranks beyond the rows have none.  ``order`` must be total (end in an id)."""
+    ranks beyond the rows have none.  ``order`` must be total (end in an id).  The group
+    and order columns are written once, and the passes read them, unless ``df`` is
+    ``written`` already."""
     spark = df.sparkSession
     found: dict = {}
     asked = [r for r in asked if r.rank >= 1]
@@ -124,12 +125,16 @@ def rows_at(df: DataFrame, order: Sequence[str], asked: Sequence[Rank], groups:
     order, groups = list(order), list(groups)
     own = df.select(*[F.col(c).alias(f"g{k}") for k, c in enumerate(groups)], *[F.col(f"`{c}`").alias(f"o{k}")
                                                                                for k, c in enumerate(order)])
+    own = own if written else cut_lineage(own)
     names = [f"o{k}" for k in range(len(order))]
     keys = [f"g{k}" for k in range(len(groups))]
     dim = _dims(own.schema, names)
-    kind, x = dim(0)
-    ends = own.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    open_cells = [_Cell(0, 0, ends["lo"], ends["hi"], asked)]
+    first = [dim(k)[1] for k in (0, 1) if dim(k) is not None]
+    ends = own.agg(F.count(F.lit(1)).alias("n"), F.count(first[0]).alias("some"), *[
+        f(x).alias(f"{w}{k}") for k, x in enumerate(first) for w, f in (("lo", F.min), ("hi", F.max))]).first()
+    # a column with one value parts nothing
+    d = int(len(first) > 1 and ends["some"] == ends["n"] and ends["lo0"] == ends["hi0"])
+    open_cells = [_Cell(0, d, ends[f"lo{d}"], ends[f"hi{d}"], asked)]
     rows = own.withColumn("cell", F.lit(0))
     small = {0: open_cells[0]} if ends["n"] <= SMALL else {}
     open_cells = [] if small else open_cells
