@@ -252,7 +252,8 @@ def get(spark: SparkSession, root: str, key: int) -> list[int] | None:
 def digest(spark: SparkSession, root: str) -> DataFrame:
     """Per stored document what its files say, and whether the index finds it there."""
     rows = places(spark, root, crc=True)
-    found = find(rows.select("id"), root).select("id", F.col("start").alias("index_start"),
+    # ids without payloads, so that sums are computed once
+    found = find(places(spark, root).select("id"), root).select("id", F.col("start").alias("index_start"),
                                                  F.col("length").alias("index_length"))
     return rows.join(found, "id", "left").select(
         F.col("id").alias("doc_id"), "start", F.col("length").cast("long").alias("n_tokens"),
