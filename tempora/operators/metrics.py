@@ -256,6 +256,23 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                                   F.col("__ap") / F.col("__P")).alias("average_precision"))
 
 
+def ranking_summary(df: DataFrame, label: str = "label", score: str = "score",
+                    by: Sequence[str] = ()) -> DataFrame:
+    """``auroc`` and ``average_precision`` from one running total over distinct scores,
+    highest first: with N negatives and n of them scored at least as high, N - n score
+    lower.  NULL with a single class."""
+    sc = _score_counts(df, label, score, by)
+    cum = running_total(sc, list(by), [F.desc("__s")], ["__pos", "__neg"])
+    pos, neg = F.col("__pos").cast("double"), F.col("__neg").cast("double")
+    tot = cum.groupBy(*by).agg(
+        F.sum(pos * (F.col("__neg_cum") - 0.5 * neg)).alias("__over"),
+        F.sum(pos * F.col("__pos_cum") / (F.col("__pos_cum") + F.col("__neg_cum"))).alias("__ap"),
+        F.sum(pos).alias("__P"), F.sum(neg).alias("__N"))
+    both = (F.col("__P") > 0) & (F.col("__N") > 0)
+    return tot.select(*by, F.when(both, 1 - F.col("__over") / (F.col("__P") * F.col("__N"))).alias("auroc"),
+                      F.when(both, F.col("__ap") / F.col("__P")).alias("average_precision"))
+
+
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
                    out: str = "quantile") -> DataFrame:
     """Linear-interpolated quantile (NumPy's default) per group, between the two rows at

@@ -12,6 +12,7 @@ from .. import config
 from . import metrics
 
 UNKNOWN = "unknown"
+ROLLUP = ("open_set_macro_f1", "unknown_rejection_rate", "known_acceptance_rate", "unknown_detection_auroc")
 
 
 def thresholds(val: DataFrame, score: str = "score", by: Sequence[str] = ("heldout", "method"),
@@ -59,15 +60,13 @@ def evaluate(test: DataFrame, thr: DataFrame, n_labels: DataFrame,
         F.count_if(F.col(role) == "known").alias("n_known_test"),
         F.count_if(F.col(role) == "unknown").alias("n_unknown_test"))
     lab = r.select(*g, (F.col(role) == "unknown").cast("int").alias("__u"), (-F.col(score)).alias("__s"))
-    auc = metrics.auroc(lab, "__u", "__s", g).withColumnRenamed("auroc", "unknown_detection_auroc")
-    ap = metrics.average_precision(lab, "__u", "__s", g) \
-        .withColumnRenamed("average_precision", "unknown_detection_auprc")
-    return closed.join(open_, g).join(rates, g).join(auc, g).join(ap, g)
+    ranked = metrics.ranking_summary(lab, "__u", "__s", g).withColumnsRenamed(
+        {"auroc": "unknown_detection_auroc", "average_precision": "unknown_detection_auprc"})
+    return closed.join(open_, g).join(rates, g).join(ranked, g)
 
 
 def rollup(summary: DataFrame, by: Sequence[str] = ("view_request", "score_method"),
-           cols: Sequence[str] = ("open_set_macro_f1", "unknown_rejection_rate",
-                                  "known_acceptance_rate", "unknown_detection_auroc"),
+           cols: Sequence[str] = ROLLUP,
            places: int = 4) -> DataFrame:
     """Mean of each metric per group, rounded."""
     return summary.groupBy(*by).agg(*[F.round(F.avg(c), places).alias(f"mean_{c}") for c in cols]).orderBy(*by)

@@ -184,11 +184,11 @@ def heldout_cuts(df: DataFrame, id_col: str = "sample_id", label: str = "label",
     return out
 
 
-def heldout_parts(df: DataFrame, cuts: list[dict], id_col: str = "sample_id", label: str = "label",
+def aligned_parts(df: DataFrame, cuts: list[dict], id_col: str = "sample_id", label: str = "label",
                   date: str = "date") -> Column:
-    """Array of ``(heldout, part)`` of a row: its part in the split of each held-out
-    class (rows of the class before its boundary have none).  Rows without a class are
-    known in every split."""
+    """Array of ``(heldout, part)`` of a row, one entry a cut: its part in the split of that
+    held-out class, null for rows of the class before its boundary.  Rows without a class
+    are known in every split."""
     kinds = [df.schema[date].dataType, df.schema[id_col].dataType]
 
     def upto(row):
@@ -203,7 +203,13 @@ def heldout_parts(df: DataFrame, cuts: list[dict], id_col: str = "sample_id", la
         name = F.when(own, F.when(late, F.lit("unknown_test"))).otherwise(known)
         return F.struct(F.lit(c["heldout"]).cast(df.schema[label].dataType).alias("heldout"), name.alias("part"))
 
-    return F.filter(F.array(*[part(c) for c in cuts]), lambda x: x["part"].isNotNull())
+    return F.array(*[part(c) for c in cuts])
+
+
+def heldout_parts(df: DataFrame, cuts: list[dict], id_col: str = "sample_id", label: str = "label",
+                  date: str = "date") -> Column:
+    """``aligned_parts`` without the splits in which the row has no part."""
+    return F.filter(aligned_parts(df, cuts, id_col, label, date), lambda x: x["part"].isNotNull())
 
 
 def heldout_class(df: DataFrame, id_col: str = "sample_id", label: str = "label",

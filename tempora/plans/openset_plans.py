@@ -1,53 +1,59 @@
-"""Open-set evaluation on ``embeddings``: each label in turn is held out, the
-others are split chronologically (``vec_id`` as time), a nearest-centroid model
-is fitted on the train rows, validation scores set the rejection threshold."""
+"""Open-set evaluation by view: each class in turn is held out, the others are split
+chronologically, a model is fitted on the train rows, validation scores set the rejection
+threshold.  Views: ``embedding`` (labels of ``embeddings``, ``vec_id`` as time, nearest
+centroid) and ``counts`` (priorities of ``orders`` by date, multinomial naive Bayes on the
+count features of their lines; scores to nine places, so that equal orders tie)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import metrics, openset, scoring, splits
+from ..operators import openset, openset_models, splits
 from ..session import cut_lineage
 from .catalog import register, table
+from .feature_plans import COUNT_COLS
+from .split_plans import SAMPLES_SQL, samples
 
 MIN_UNKNOWN = 5  # the driver tables hold ~50 rows per label at sf0.01
 Q = 1.0 - config.KNOWN_RETENTION
+PLACES = 9
 
 
-def _samples(spark, d):
+def _embedding(spark, d):
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("label"),
-        F.col("vec_id").alias("date"), "embedding")
-
-
-def openset_scored(spark, d):
-    """Test and validation rows with closed-set prediction and both scores."""
-    s = _samples(spark, d)
-    parts, facts = splits.heldout_class(s.drop("embedding"), "sample_id", "label", "date",
-                                        min_unknown=MIN_UNKNOWN)
-    parts = cut_lineage(parts.select("heldout", "sample_id", "label", "part"))  # reused below
-    rows = parts.join(s.select("sample_id", "embedding"), "sample_id")
-    train = rows.where(F.col("part") == "train")
-    # one centroid model per held-out class, fitted on its train rows only
-    model = cut_lineage(scoring.fit_centroids(train, "embedding", "label", by=["heldout"]))
-    evald = rows.where(F.col("part").isin("val", "known_test", "unknown_test"))
-    scored = scoring.score(evald, model, "embedding", by=["heldout"]).select(
-        "heldout", "sample_id", "label", "part", "p", F.col("classes").alias("cls"))
-    scored = scored.select("heldout", "sample_id", "label", "part", "cls", *metrics.top_scores("p"))
-    scored = scored.withColumn("y_pred", F.element_at("cls", F.col("pred_idx") + 1)).drop("cls", "pred_idx")
-    long = scored.select("heldout", "sample_id", "label", "part", "y_pred", F.explode(F.array(
-        F.struct(F.lit("max_prob").alias("method"), F.col("max_prob").alias("score")),
-        F.struct(F.lit("margin").alias("method"), F.col("margin").alias("score")))).alias("m"))
-    long = long.select("heldout", "sample_id", F.col("label").alias("y_true"), "part", "y_pred",
-                       "m.method", "m.score")
-    # reused by thresholds, rejection, AUROC and AP: materialise once
-    return cut_lineage(long), facts
-
-
-OPENSET_SQL = f"""
-WITH smp AS (SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS label, vec_id AS date, embedding
-             FROM embeddings),
+        F.col("vec_id").alias("date"), F.col("embedding").alias("vec"))
+
+
+def _counts(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
+        F.count_if(F.col("l_returnflag") == "R").cast("double").alias("n_returned"),
+        F.max("l_discount").alias("max_discount"))
+    rows = samples(spark, d).join(lines, "sample_id", "left")
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in COUNT_COLS])
+    return cut_lineage(rows.select("sample_id", "label", "date", vec.alias("vec")))
+
+
+VIEWS: dict[str, tuple[Callable, str, int | None]] = {
+    "embedding": (_embedding, "centroid", None), "counts": (_counts, "naive_bayes", PLACES)}
+
+
+def openset_scored(spark, d, view: str = "embedding"):
+    """Scored validation and test rows of a view, and its number of classes."""
+    rows, kind, places = VIEWS[view]
+    s = rows(spark, d)
+    cuts = splits.heldout_cuts(s.drop("vec"), "sample_id", "label", "date", min_unknown=MIN_UNKNOWN)
+    return openset_models.score(s, cuts, "vec", kind, places=places), len(splits.class_list(s, "label"))
+
+
+def _parts_sql(smp: str) -> str:
+    return f"""
+WITH {smp},
 cls AS (SELECT DISTINCT label AS heldout FROM smp),
 known AS (SELECT h.heldout, s.sample_id, s.label, s.date FROM cls h JOIN smp s ON s.label <> h.heldout),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY heldout ORDER BY date, sample_id) AS rk,
@@ -64,9 +70,14 @@ unk AS (SELECT b.heldout, s.sample_id, s.label, s.date, 'unknown_test' AS part
 kept AS (SELECT heldout FROM unk GROUP BY heldout HAVING count(*) >= {MIN_UNKNOWN}),
 parts AS (SELECT heldout, sample_id, label, part FROM kparts WHERE heldout IN (SELECT heldout FROM kept)
           UNION ALL SELECT heldout, sample_id, label, part FROM unk WHERE heldout IN (SELECT heldout FROM kept)),
-x AS (SELECT p.heldout, p.sample_id, p.label, p.part, unnest(s.embedding)::DOUBLE AS v,
-             generate_subscripts(s.embedding, 1) AS pos
+x AS (SELECT p.heldout, p.sample_id, p.label, p.part, unnest(s.vec)::DOUBLE AS v,
+             generate_subscripts(s.vec, 1) AS pos
       FROM parts p JOIN smp s USING (sample_id)),
+"""
+
+
+# log weights lg(heldout, sample_id, label, part, cl, z) of the two models
+CENTROID_SQL = """
 cent AS (SELECT heldout, label AS cl, pos, avg(v) AS c FROM x WHERE part = 'train' GROUP BY ALL),
 cn AS (SELECT heldout, cl, sqrt(sum(c * c)) AS nc FROM cent GROUP BY ALL),
 ev AS (SELECT * FROM x WHERE part <> 'train'),
@@ -76,18 +87,43 @@ dots AS (SELECT ev.heldout, ev.sample_id, any_value(ev.label) AS label, any_valu
          FROM ev JOIN cent ON ev.heldout = cent.heldout AND ev.pos = cent.pos GROUP BY ALL),
 lg AS (SELECT d.*, 10.0 * d.d / (en.ne * cn.nc) AS z FROM dots d
        JOIN en USING (heldout, sample_id) JOIN cn USING (heldout, cl)),
-pr AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY heldout, sample_id) AS p FROM lg),
+"""
+BAYES_SQL = """
+ps AS (SELECT heldout, label AS cl, pos, sum(v) AS s FROM x WHERE part = 'train' GROUP BY ALL),
+lw AS (SELECT heldout, cl, pos, ln((s + 1) / (sum(s) OVER w + count(*) OVER w)) AS w FROM ps
+       WINDOW w AS (PARTITION BY heldout, cl)),
+lg AS (SELECT x.heldout, x.sample_id, any_value(x.label) AS label, any_value(x.part) AS part, lw.cl,
+              sum(x.v * lw.w) AS z
+       FROM x JOIN lw ON x.heldout = lw.heldout AND x.pos = lw.pos WHERE x.part <> 'train' GROUP BY ALL),
+"""
+
+
+def _scored_sql(smp: str, model: str, places: int | None) -> str:
+    score = "score" if places is None else f"round(score, {places})"
+    return _parts_sql(smp) + model + f"""
+ex AS (SELECT *, exp(z - max(z) OVER (PARTITION BY heldout, sample_id)) AS e FROM lg),
+pr AS (SELECT *, e / sum(e) OVER (PARTITION BY heldout, sample_id) AS p FROM ex),
 sc AS (SELECT heldout, sample_id, any_value(label) AS y_true, any_value(part) AS part,
-              arg_max(cl, p) AS y_pred, max(p) AS max_prob,
+              list(cl ORDER BY p DESC, cl)[1] AS y_pred, max(p) AS max_prob,
               max(p) - list_sort(list(p), 'DESC')[2] AS margin FROM pr GROUP BY ALL),
-lng AS (SELECT heldout, sample_id, y_true, part, y_pred, 'max_prob' AS method, max_prob AS score FROM sc
-        UNION ALL SELECT heldout, sample_id, y_true, part, y_pred, 'margin', margin FROM sc),
+lng0 AS (SELECT heldout, sample_id, y_true, part, y_pred, 'max_prob' AS method, max_prob AS score FROM sc
+         UNION ALL SELECT heldout, sample_id, y_true, part, y_pred, 'margin', margin FROM sc),
+lng AS (SELECT heldout, sample_id, y_true, part, y_pred, method, {score} AS score FROM lng0),
 thr AS (SELECT heldout, method, quantile_cont(score, {Q!r}) AS threshold, avg(score) AS val_mean_score,
                min(score) AS val_min_score, max(score) AS val_max_score
         FROM lng WHERE part = 'val' GROUP BY ALL)
 """
 
 
+OPENSET_SQL = _scored_sql("""smp AS (SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS label, vec_id AS date,
+              embedding AS vec FROM embeddings)""", CENTROID_SQL, None)
+COUNTS_SQL = _scored_sql(f"""per AS (SELECT l_orderkey AS sample_id, count(*)::DOUBLE AS n_lines, sum(l_quantity) AS sum_qty,
+               count_if(l_returnflag = 'R')::DOUBLE AS n_returned, max(l_discount) AS max_discount
+        FROM lineitem GROUP BY l_orderkey),
+smp AS (SELECT o.sample_id, label, date, [{", ".join(f"coalesce({c}::DOUBLE, 0.0)" for c in COUNT_COLS)}] AS vec
+        FROM ({SAMPLES_SQL}) o LEFT JOIN per USING (sample_id))""", BAYES_SQL, PLACES)
+
+
 @register("openset_thresholds", OPENSET_SQL + f"""
 SELECT heldout, method, round(threshold, 6) AS threshold, round(val_mean_score, 6) AS val_mean_score,
        round(val_min_score, 6) AS val_min_score, round(val_max_score, 6) AS val_max_score,
@@ -101,7 +137,7 @@ def openset_thresholds(spark, d):
     return r6(openset.thresholds(long.where(F.col("part") == "val")))
 
 
-EVAL_SQL = OPENSET_SQL + """
+METRICS_SQL = """
 , te AS (SELECT l.*, CASE WHEN l.part = 'unknown_test' THEN 'unknown' ELSE 'known' END AS role,
                 CASE WHEN score < t.threshold THEN 'unknown' ELSE y_pred END AS open_pred,
                 CASE WHEN l.part = 'unknown_test' THEN 'unknown' ELSE y_true END AS open_true
@@ -145,28 +181,28 @@ ev2 AS (SELECT * FROM closed JOIN openm USING (heldout, method) JOIN rates USING
 """
 
 
-def openset_eval_df(spark, d):
-    long, _ = openset_scored(spark, d)
+EVAL_SQL = OPENSET_SQL + METRICS_SQL
+EVAL_COLUMNS = """heldout, method, round(closed_known_accuracy, 6) AS closed_known_accuracy,
+       round(closed_known_macro_f1, 6) AS closed_known_macro_f1,
+       round(open_set_accuracy, 6) AS open_set_accuracy, round(open_set_macro_f1, 6) AS open_set_macro_f1,
+       round(known_acceptance_rate, 6) AS known_acceptance_rate,
+       round(unknown_rejection_rate, 6) AS unknown_rejection_rate, n_known_test::BIGINT AS n_known_test,
+       n_unknown_test::BIGINT AS n_unknown_test,
+       round(unknown_detection_auroc, 6) AS unknown_detection_auroc,
+       round(unknown_detection_auprc, 6) AS unknown_detection_auprc"""
+
+
+def openset_eval_df(spark, d, view: str = "embedding"):
+    long, k = openset_scored(spark, d, view)
     thr = openset.thresholds(long.where(F.col("part") == "val"))
     test = long.where(F.col("part").isin("known_test", "unknown_test")).withColumn(
         "role", F.when(F.col("part") == "unknown_test", "unknown").otherwise("known"))
     # fixed open-set label list: the known classes plus "unknown" = all classes
-    k = _samples(spark, d).select("label").distinct().count()
     n_lab = thr.select("heldout", "method", F.lit(k).alias("n_labels"))
     return openset.evaluate(test, thr, n_lab)
 
 
-@register("openset_eval", EVAL_SQL + """
-SELECT heldout, method, round(closed_known_accuracy, 6) AS closed_known_accuracy,
-       round(closed_known_macro_f1, 6) AS closed_known_macro_f1,
-       round(open_set_accuracy, 6) AS open_set_accuracy, round(open_set_macro_f1, 6) AS open_set_macro_f1,
-       round(known_acceptance_rate, 6) AS known_acceptance_rate,
-       round(unknown_rejection_rate, 6) AS unknown_rejection_rate, n_known_test::BIGINT AS n_known_test,
-       n_unknown_test::BIGINT AS n_unknown_test,
-       round(unknown_detection_auroc, 6) AS unknown_detection_auroc,
-       round(unknown_detection_auprc, 6) AS unknown_detection_auprc
-FROM ev2
-""")
+@register("openset_eval", EVAL_SQL + f"SELECT {EVAL_COLUMNS} FROM ev2")
 def openset_eval(spark, d):
     """M18, PF10, S5, J12, AG24–AG26: open-set metrics per held-out class and score."""
     from .metric_plans import r6
@@ -183,3 +219,24 @@ FROM ev2 GROUP BY method
 def openset_rollup(spark, d):
     """AG27, T8: mean open-set metrics per score method."""
     return openset.rollup(openset_eval_df(spark, d), by=["method"])
+
+
+@register("openset_counts_eval", COUNTS_SQL + METRICS_SQL + f"SELECT {EVAL_COLUMNS} FROM ev2")
+def openset_counts_eval(spark, d):
+    """M18 on the count view: open-set metrics per held-out priority and score."""
+    from .metric_plans import r6
+    return r6(openset_eval_df(spark, d, "counts"))
+
+
+def _view_rollup(view: str, sql: str) -> str:
+    cols = ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in openset.ROLLUP)
+    return f"SELECT '{view}' AS view_request, method AS score_method, {cols} FROM ({sql} SELECT * FROM ev2) GROUP BY method"
+
+
+@register("openset_view_rollup", " UNION ALL ".join(
+    [_view_rollup("embedding", EVAL_SQL), _view_rollup("counts", COUNTS_SQL + METRICS_SQL)]))
+def openset_view_rollup(spark, d):
+    """Mean open-set metrics per view request and score method."""
+    views = [openset_eval_df(spark, d, v).withColumn("view_request", F.lit(v)) for v in VIEWS]
+    both = reduce(lambda a, b: a.unionByName(b), views).withColumnRenamed("method", "score_method")
+    return openset.rollup(both)
