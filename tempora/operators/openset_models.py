@@ -81,8 +81,14 @@ def models(sums: DataFrame, cuts: list[dict], kind: str, temperature: float = 10
     for c in cuts:
         if c["train"] is None:
             block.append((c, [], np.zeros((0, 0))))
+    size = sums.agg(F.count_distinct("class").alias("k"), F.max(F.size("total")).alias("d")).first()
+    step = max(1, BLOCK_CELLS // max(1, (size["k"] or 0) * (size["d"] or 0)))  # stretches read together
     for i, row in enumerate(ends):
-        for r in sums.where(F.col("stretch") == i).toLocalIterator():  # a row a class
+        if i % step == 0:
+            read: dict[int, list] = {}
+            for r in sums.where(F.col("stretch").between(i, i + step - 1)).collect():  # a row a class and stretch
+                read.setdefault(r["stretch"], []).append(r)
+        for r in read.get(i, []):
             total[r["class"]] = total.get(r["class"], 0.0) + np.asarray(r["total"])
             n[r["class"]] = n.get(r["class"], 0) + r["n"]
         for c in cuts:

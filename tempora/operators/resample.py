@@ -1,25 +1,34 @@
 """Resampling and paired tests.
 
-The data are reduced to small contingency tables first (K×K confusion cells, or
-K³ (truth, run A, run B) cells) — one partial aggregation at any scale.  The B
-bootstrap replicates are then spread over tasks with ``mapInPandas``; each
-replicate draws from its own seeded generator (seed, replicate id), so results do
-not depend on partitioning and a retried task redraws the same numbers.
+The data are reduced to contingency cells first (K x K confusion cells, or K^3 cells of
+truth, run A, run B): one partial aggregation at any scale.  A bootstrap replicate is a
+multinomial draw over cells, which ``cell_draws`` distributes: the cells of a draw are
+dealt by hash to the leaves of a binary tree of about ``LEAF`` cells each, and a leaf gets
+its share of the total by binomial draws at the nodes above it, the conditional
+distributions of the multinomial.  Every node and leaf draws from a generator seeded by
+(seed, chunk of replicates, draw, node), so leaves agree on the nodes that they share
+without exchanging anything, results do not depend on partitioning, and a retried task
+redraws the same numbers.  No task holds more than a leaf's cells for ``CHUNK`` replicates and,
+for each class, the sums of one input batch; the driver holds none.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import cut_lineage
+from . import metrics
+from .ranking import join_null_safe
 
-MAX_CELLS = 10_000_000
+LEAF, CHUNK, GROUP = 2_000, 200, 64  # cells a leaf, replicates drawn together, leaves a task
 
 
 def ln_factorial(x: Column) -> Column:
@@ -53,20 +62,130 @@ def mcnemar(df: DataFrame, y_true: str, pred_a: str, pred_b: str) -> DataFrame:
                     (F.lit(1.0) if n == 0 else F.least(F.lit(1.0), 2 * F.col("s"))).alias("p_value"))
 
 
-def _prf_np(cm: np.ndarray):
-    tp = np.diag(cm).astype(float)
-    col = cm.sum(axis=0).astype(float)
-    row = cm.sum(axis=1).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(col > 0, tp / np.where(col > 0, col, 1), 0.0)
-        r = np.where(row > 0, tp / np.where(row > 0, row, 1), 0.0)
-        f = np.where(p + r > 0, 2 * p * r / np.where(p + r > 0, p + r, 1), 0.0)
-    return p, r, f
-
-
-def _replicates(spark: SparkSession, b: int, partitions: int | None) -> DataFrame:
-    n = partitions or max(1, min(b // 100, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, b, numPartitions=n).withColumnRenamed("id", "replicate")
+def _tree(cells: DataFrame, root: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One row a leaf: ``root, leaf, held`` (its cells, ordered by key), ``total`` of the
+    draw and ``path`` from the top: (level, node, whether the leaf is in the left half,
+    count of the left half, count of the node)."""
+    g = list(root)
+    cells = cut_lineage(cells)
+    sizes = cells.groupBy(*g).agg(F.count(F.lit(1)).alias("__k"), F.sum("n").alias("total")).withColumn(
+        "depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("__k") / F.lit(LEAF)))).cast("int")).drop("__k")
+    if g:
+        placed = join_null_safe(cells, sizes, g)
+    else:  # one draw: its size becomes literals
+        one = sizes.first()
+        placed = cells.withColumn("total", F.lit(one["total"] or 0).cast("long")).withColumn("depth", F.lit(one["depth"] or 0))
+    leaf = F.when(F.col("depth") > 0, F.pmod(F.xxhash64(*keys), F.expr("shiftleft(1L, depth)"))) \
+        .otherwise(F.lit(0).cast("long"))
+    leaves = placed.withColumn("leaf", leaf).groupBy(*g, "depth", "total", "leaf").agg(
+        F.array_sort(F.collect_list(F.struct(*keys, "n"))).alias("held"), F.sum("n").alias("here"))
+    leaves = cut_lineage(leaves)
+    flat = leaves.withColumn("path", F.expr("cast(array() as array<struct<level:int,node:bigint,is_left:boolean,"
+                                            "n_left:bigint,n_node:bigint>>)"))
+    if not leaves.where("depth > 0").limit(1).count():
+        return flat.drop("depth", "here")
+    steps = leaves.where("depth > 0").select(*g, "leaf", "here", "depth", F.explode(F.sequence(F.lit(0), "depth")).alias("level")) \
+        .withColumn("node", F.expr("shiftright(leaf, level)"))
+    nodes = steps.groupBy(*g, "level", "node").agg(F.sum("here").alias("n_node"))
+    left = nodes.where("node % 2 = 0").select(*g, (F.col("level") + 1).alias("level"), F.expr("node div 2").alias("node"),
+                                              F.col("n_node").alias("n_left"))
+    up = join_null_safe(steps.where("level > 0"), nodes, [*g, "level", "node"])
+    up = join_null_safe(up, left, [*g, "level", "node"], "left")
+    own = up.select(*g, "leaf", F.struct((-F.col("level")).alias("level"), "node", F.expr(
+        "shiftright(leaf, level - 1) % 2 = 0").alias("is_left"), F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"),
+        "n_node").alias("s"))
+    paths = own.groupBy(*g, "leaf").agg(F.array_sort(F.collect_list("s")).alias("path"))  # log2 of the leaves
+    deep = join_null_safe(leaves.where("depth > 0"), paths, [*g, "leaf"])
+    return flat.where("depth = 0").unionByName(deep).drop("depth", "here")
+
+
+def _draw(rng_key: list[int], total: int, path, held_n: np.ndarray, leaf: int) -> np.ndarray:
+    """Counts (CHUNK x cells) of a leaf's cells."""
+    n = np.full(CHUNK, total, np.int64)
+    for s in path:
+        rng = np.random.default_rng([*rng_key, 1 - int(s["level"]), int(s["node"])])
+        part = rng.binomial(n, s["n_left"] / s["n_node"]) if s["n_node"] else np.zeros(CHUNK, np.int64)
+        n = part if s["is_left"] else n - part
+    here = held_n.sum()
+    if not here:
+        return np.zeros((CHUNK, len(held_n)), np.int64)
+    return np.random.default_rng([*rng_key, 0, leaf]).multinomial(n, held_n / here)
+
+
+def cell_draws(cells: DataFrame, root: Sequence[str], keys: Sequence[str], roles: dict[str, Sequence[str]],
+               group: Sequence[str] = (), b: int = config.BOOTSTRAP_B, seed: int = config.BOOTSTRAP_SEED,
+               partitions: int | None = None) -> DataFrame:
+    """Sums of redrawn cell counts.  The cells of each ``root`` are redrawn as Multinomial
+    (their total, their shares); ``cells`` holds ``root``, ``keys`` and ``n``, a row a cell.
+    ``roles``: for each output column the keys that must be equal; the column counts, for
+    each class, the draws whose keys all hold the class.  Returns ``group, replicate,
+    class`` and the roles' sums; a null key counts for no class."""
+    group, root, keys = list(group), list(root), list(keys)
+    if not set(group) <= set(root):
+        raise ValueError("groups must be part of the draws' roots")
+    spark = cells.sparkSession
+    chunks = max(1, math.ceil(b / CHUNK))
+    leaves = _tree(cells.select(*{c: None for c in [*root, *keys]}, F.col("n").cast("long").alias("n")), root, keys)
+    name = F.pmod(F.xxhash64(*[F.col(c) for c in root], F.lit(0)), F.lit(2**62))
+    work = leaves.withColumn("root_id", name).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the roots of a group meet, so their sums are merged before they are shuffled again
+    work = work.select(*group, "chunk", "root_id", "total", "leaf", "path", "held") \
+        .repartition(parts, "chunk", *group, F.floor(F.col("leaf") / GROUP))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in group}
+    schema = ", ".join([*[f"`{c}` {k}" for c, k in kinds.items()], "chunk int", "class string",
+                        *[f"`{r}` array<bigint>" for r in roles]])
+
+    def run(batches):
+        for pdf in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for row in pdf.to_dict("records"):
+                held = row["held"]
+                n = np.array([c["n"] for c in held], np.int64)
+                counts = _draw([seed, int(row["chunk"]), int(row["root_id"])], int(row["total"]), row["path"], n,
+                               int(row["leaf"]))
+                for k, (_, same) in enumerate(roles.items()):
+                    own = [c[same[0]] if all(c[x] == c[same[0]] for x in same) else None for c in held]
+                    at: dict[str, list[int]] = {}
+                    for i, c in enumerate(own):
+                        if c is not None:
+                            at.setdefault(c, []).append(i)
+                    for c, where in at.items():
+                        key = (*[row[x] for x in group], int(row["chunk"]), c)
+                        if key not in sums:
+                            sums[key] = np.zeros((len(roles), CHUNK), np.int64)
+                        sums[key][k] += counts[:, where].sum(axis=1)
+            if sums:
+                yield pd.DataFrame([(*k, *v.tolist()) for k, v in sums.items()],
+                                   columns=[*group, "chunk", "class", *roles])
+
+    long = work.mapInPandas(run, schema).select(*group, "chunk", "class", F.posexplode(F.arrays_zip(*roles)))
+    long = long.select(*group, (F.col("chunk").cast("long") * CHUNK + F.col("pos")).alias("replicate"), "class",
+                       *[F.col("col")[r].alias(r) for r in roles]).where(F.col("replicate") < b)
+    return long.groupBy(*group, "replicate", "class").agg(*[F.sum(r).alias(r) for r in roles])
+
+
+def _prf(tp: str, n_pred: str, n_true: str) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of counts, 0 where undefined."""
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return (share(F.col(tp), F.col(n_pred)), share(F.col(tp), F.col(n_true)),
+            share(2 * F.col(tp), F.col(n_pred) + F.col(n_true)))
+
+
+def _all_cells(cells: DataFrame, classes: Sequence[str] | None, run: str) -> DataFrame:
+    """The cells of each run whose truth and prediction are classes, with an empty
+    diagonal cell for each class: given classes, else those that the run holds."""
+    if run not in cells.columns:
+        cells = cells.withColumn(run, F.lit(""))
+    cells = cells.select(F.col(run).alias("run"), "y_true", "y_pred", F.col("n").cast("long").alias("n")) \
+        .where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    if classes is None:
+        own = cells.select("run", F.explode(F.array("y_true", "y_pred")).alias("c")).distinct()
+    else:
+        own = cells.select("run").distinct().withColumn("c", F.explode(F.array(*[F.lit(c) for c in classes])))
+        cells = cells.where(F.col("y_true").isin(list(classes)) & F.col("y_pred").isin(list(classes)))
+    empty = own.select("run", F.col("c").alias("y_true"), F.col("c").alias("y_pred"), F.lit(0).cast("long").alias("n"))
+    return cells.unionByName(empty).groupBy("run", "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def confusion_bootstrap(cells: DataFrame, classes: Sequence[str] | None = None,
@@ -75,46 +194,39 @@ def confusion_bootstrap(cells: DataFrame, classes: Sequence[str] | None = None,
     """Per run and replicate: every confusion row is redrawn as
     Multinomial(row total, row shares) (empty rows stay zero); returns long rows
     ``run, replicate, class, precision, recall, f1`` plus ``class = '__macro__'``
-    holding macro-F1 over all K classes in ``f1``."""
-    spark = cells.sparkSession
-    if run not in cells.columns:
-        cells = cells.withColumn(run, F.lit(""))
-    n_cells = cells.count()
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} confusion cells are too many to ship")
-    pdf = cells.select(run, "y_true", "y_pred", F.col("n").cast("long")).toPandas()
-    mats = {}
-    for r, g in pdf.groupby(run):
-        cls = list(classes) if classes is not None else sorted(set(g.y_true) | set(g.y_pred))
-        idx = {c: i for i, c in enumerate(cls)}
-        cm = np.zeros((len(cls), len(cls)), dtype=np.int64)
-        for t, p, k in zip(g.y_true, g.y_pred, g.n):
-            if t in idx and p in idx:
-                cm[idx[t], idx[p]] += k
-        mats[r] = (cls, cm)
-    bmats = spark.sparkContext.broadcast(mats)
-
-    def draw(it):
-        for part in it:
-            out = []
-            for rep in part["replicate"].tolist():
-                for r, (cls, cm) in bmats.value.items():
-                    rng = np.random.default_rng([seed, int(rep)])
-                    tot = cm.sum(axis=1)
-                    boot = np.zeros_like(cm)
-                    for k in range(len(cls)):
-                        if tot[k] > 0:
-                            boot[k] = rng.multinomial(int(tot[k]), cm[k] / tot[k])
-                    p, rc, f = _prf_np(boot)
-                    out.append(pd.DataFrame({"run": r, "replicate": rep, "class": cls + ["__macro__"],
-                                             "precision": list(p) + [np.nan],
-                                             "recall": list(rc) + [np.nan],
-                                             "f1": list(f) + [f.mean()]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    schema = "run string, replicate long, class string, precision double, recall double, f1 double"
-    return _replicates(spark, b, partitions).mapInPandas(draw, schema)
+    holding macro-F1 over all K classes in ``f1``.  Cells whose truth or prediction is
+    null or no class are left out."""
+    full = _all_cells(cells, classes, run)
+    draws = cell_draws(full, ["run", "y_true"], ["y_true", "y_pred"],
+                       {"n_true": ["y_true"], "n_pred": ["y_pred"], "tp": ["y_true", "y_pred"]}, ["run"], b, seed,
+                       partitions)
+    p, r, f = _prf("tp", "n_pred", "n_true")
+    per = draws.select("run", "replicate", "class", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    macro = per.groupBy("run", "replicate").agg(F.avg("f1").alias("f1")).select(
+        "run", "replicate", F.lit("__macro__").alias("class"), F.lit(None).cast("double").alias("precision"),
+        F.lit(None).cast("double").alias("recall"), "f1")
+    return per.unionByName(macro)
+
+
+def bootstrap_report(cells: DataFrame, classes: Sequence[str] | None = None, b: int = config.BOOTSTRAP_B,
+                     seed: int = config.BOOTSTRAP_SEED, run: str = "run", partitions: int | None = None) -> DataFrame:
+    """Summary of many runs: for each ``run`` and ``class`` the ``support``, and for
+    precision, recall and f1 the point value, the 95 % percentile interval and its width;
+    class ``__macro__`` holds macro-F1 and all rows as support (no precision or recall)."""
+    full = cut_lineage(_all_cells(cells, classes, run))
+    draws = cut_lineage(confusion_bootstrap(full, classes, b, seed, "run", partitions))
+    names = ("precision", "recall", "f1")
+    ci = draws.groupBy("run", "class").agg(*[e for m in names for e in (
+        F.percentile(m, 0.025).alias(f"{m}_ci_lo"), F.percentile(m, 0.975).alias(f"{m}_ci_hi"))])
+    point = metrics.per_class(full, ["run"], weight="n").select("run", "class", "support", *names)
+    macro = point.groupBy("run").agg(F.sum("support").alias("support"), F.avg("f1").alias("f1")).select(
+        "run", F.lit("__macro__").alias("class"), "support", F.lit(None).cast("double").alias("precision"),
+        F.lit(None).cast("double").alias("recall"), "f1")
+    point = point.unionByName(macro).withColumnsRenamed({m: f"{m}_point" for m in names})
+    out = join_null_safe(point, ci, ["run", "class"])
+    return out.select("run", "class", "support", *[c for m in names for c in (
+        F.col(f"{m}_point"), F.col(f"{m}_ci_lo"), F.col(f"{m}_ci_hi"),
+        (F.col(f"{m}_ci_hi") - F.col(f"{m}_ci_lo")).alias(f"{m}_ci_width"))])
 
 
 def percentile_ci(draws: DataFrame, value: str, by: Sequence[str], lo: float = 0.025,
@@ -132,65 +244,49 @@ def paired_cells(pairs: DataFrame, y_true: str = "y_true", pred_a: str = "pred_a
                          F.col(pred_b).alias("pred_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _macro_observed(t: np.ndarray, p: np.ndarray, w: np.ndarray, k: int) -> float:
-    cm = np.zeros((k, k))
-    np.add.at(cm, (t, p), w)
-    present = (cm.sum(axis=0) + cm.sum(axis=1)) > 0
-    _, _, f = _prf_np(cm)
-    return float(f[present].mean()) if present.any() else 0.0
-
-
 def paired_bootstrap(pairs: DataFrame, b: int = config.BOOTSTRAP_B,
                      seed: int = config.BOOTSTRAP_SEED, partitions: int | None = None,
                      y_true: str = "y_true", pred_a: str = "pred_a",
                      pred_b: str = "pred_b") -> DataFrame:
     """Paired bootstrap of macro-F1 (observed labels): resampling n rows with
     replacement is Multinomial(n, cell shares) over the (truth, A, B) cells, so
-    each replicate draws K³ counts, not n indices.  Rows ``replicate, macro_f1_a,
-    macro_f1_b, delta``."""
-    spark = pairs.sparkSession
-    cells = paired_cells(pairs, y_true, pred_a, pred_b)
-    n_cells = cells.count()
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} cells are too many to ship")
-    pdf = cells.toPandas()
-    cls = sorted(set(pdf.y_true) | set(pdf.pred_a) | set(pdf.pred_b))
-    idx = {c: i for i, c in enumerate(cls)}
-    t = pdf.y_true.map(idx).to_numpy()
-    a = pdf.pred_a.map(idx).to_numpy()
-    bb = pdf.pred_b.map(idx).to_numpy()
-    cnt = pdf.n.to_numpy().astype(np.int64)
-    bc = spark.sparkContext.broadcast((t, a, bb, cnt, len(cls)))
-
-    def draw(it):
-        t_, a_, b_, c_, k = bc.value
-        n = int(c_.sum())
-        shares = c_ / n if n else c_
-        for part in it:
-            rows = []
-            for rep in part["replicate"].tolist():
-                rng = np.random.default_rng([seed, int(rep)])
-                w = rng.multinomial(n, shares) if n else c_
-                fa = _macro_observed(t_, a_, w, k)
-                fb = _macro_observed(t_, b_, w, k)
-                rows.append((rep, fa, fb, fa - fb))
-            yield pd.DataFrame(rows, columns=["replicate", "macro_f1_a", "macro_f1_b", "delta"])
-
-    return _replicates(spark, b, partitions).mapInPandas(
-        draw, "replicate long, macro_f1_a double, macro_f1_b double, delta double")
+    each replicate draws at most K^3 counts, not n indices.  Rows ``replicate, macro_f1_a,
+    macro_f1_b, delta``.  A null prediction is no class; without rows there is no replicate."""
+    draws = cell_draws(paired_cells(pairs, y_true, pred_a, pred_b), [], ["y_true", "pred_a", "pred_b"],
+                       {"n_true": ["y_true"], "n_a": ["pred_a"], "n_b": ["pred_b"],
+                        "tp_a": ["y_true", "pred_a"], "tp_b": ["y_true", "pred_b"]}, [], b, seed, partitions)
+
+    def macro(x):  # classes in truth or prediction
+        return F.coalesce(F.avg(F.when(F.col("n_true") + F.col(f"n_{x}") > 0, _prf(f"tp_{x}", f"n_{x}", "n_true")[2])),
+                          F.lit(0.0)).alias(f"macro_f1_{x}")
+
+    return draws.groupBy("replicate").agg(macro("a"), macro("b")).withColumn(
+        "delta", F.col("macro_f1_a") - F.col("macro_f1_b"))
 
 
 def paired_report(boot: DataFrame) -> DataFrame:
-    """Means and 95 % percentile intervals; ``significant`` when the delta
-    interval excludes zero."""
-    agg = boot.agg(
-        F.avg("macro_f1_a").alias("mean_macro_f1_a"), F.avg("macro_f1_b").alias("mean_macro_f1_b"),
-        F.avg("delta").alias("mean_delta"),
-        F.percentile("delta", 0.025).alias("delta_ci_lo"), F.percentile("delta", 0.975).alias("delta_ci_hi"),
-        F.count(F.lit(1)).alias("b"))
+    """Means and 95 % percentile intervals of both runs and of their difference;
+    ``significant`` when the difference's interval excludes zero."""
+    agg = boot.agg(*[e for c in ("macro_f1_a", "macro_f1_b", "delta") for e in (
+        F.avg(c).alias(f"mean_{c}"), F.percentile(c, 0.025).alias(f"{c}_ci_lo"),
+        F.percentile(c, 0.975).alias(f"{c}_ci_hi"))], F.count(F.lit(1)).alias("b"))
     return agg.withColumn("significant", (F.col("delta_ci_lo") > 0) | (F.col("delta_ci_hi") < 0))
 
 
+def paired_comparison(pairs: DataFrame, b: int = config.BOOTSTRAP_B, seed: int = config.BOOTSTRAP_SEED,
+                      y_true: str = "y_true", pred_a: str = "pred_a", pred_b: str = "pred_b") -> DataFrame:
+    """The whole report of two runs, one row: points of both and their difference, the
+    bootstrap of ``paired_report``, McNemar's counts and p."""
+    cells = cut_lineage(paired_cells(pairs, y_true, pred_a, pred_b))
+    a, b_ = (metrics.summary(cells, [], "y_true", x, weight="n").select(
+        F.col("macro_f1").alias(f"point_macro_f1_{x[-1]}")) for x in ("pred_a", "pred_b"))
+    rows = [a, b_, paired_report(paired_bootstrap(pairs, b, seed, None, y_true, pred_a, pred_b)),
+            mcnemar(pairs, y_true, pred_a, pred_b).select(*[F.col(c).alias(f"mcnemar_{c}") for c in ("b", "c", "n_discordant", "p_value")])]
+    keyed = [r.withColumn("__one", F.lit(1)) for r in rows]  # one row each
+    out = reduce(lambda x, y: x.join(y, "__one"), keyed).drop("__one")
+    return out.withColumn("point_delta", F.col("point_macro_f1_a") - F.col("point_macro_f1_b"))
+
+
 def check_pairing(run_a: DataFrame, run_b: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """Full outer join of two prediction runs; raises unless both cover the
     same samples with the same truth.  Returns ``id, y_true, pred_a, pred_b``."""
