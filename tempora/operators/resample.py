@@ -43,13 +43,15 @@ def ln_factorial(x: Column) -> Column:
     return stirling - shift
 
 
-def mcnemar(df: DataFrame, y_true: str, pred_a: str, pred_b: str) -> DataFrame:
+def mcnemar(df: DataFrame, y_true: str, pred_a: str, pred_b: str, weight: str | None = None) -> DataFrame:
     """Exact two-sided McNemar (binomial, p = 1/2) on correctness: b = A right and
     B wrong, c = A wrong and B right, p = min(1, 2·P[X <= min(b, c)]),
-    X ~ Bin(b+c, 1/2); p = 1 without discordant pairs.  The binomial terms are
-    generated as a distributed range."""
-    bc = df.agg(F.count_if((F.col(pred_a) == F.col(y_true)) & (F.col(pred_b) != F.col(y_true))).alias("b"),
-                F.count_if((F.col(pred_a) != F.col(y_true)) & (F.col(pred_b) == F.col(y_true))).alias("c"))
+    X ~ Bin(b+c, 1/2); p = 1 without discordant pairs.  With ``weight`` a row counts that
+    often.  The binomial terms are generated as a distributed range."""
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
+    bc = df.agg(count((F.col(pred_a) == F.col(y_true)) & (F.col(pred_b) != F.col(y_true))).alias("b"),
+                count((F.col(pred_a) != F.col(y_true)) & (F.col(pred_b) == F.col(y_true))).alias("c"))
     b, c = bc.first()
     n, m = b + c, min(b, c)
     spark = df.sparkSession
@@ -67,7 +69,6 @@ def _tree(cells: DataFrame, root: Sequence[str], keys: Sequence[str]) -> DataFra
     draw and ``path`` from the top: (level, node, whether the leaf is in the left half,
     count of the left half, count of the node)."""
     g = list(root)
-    cells = cut_lineage(cells)
     sizes = cells.groupBy(*g).agg(F.count(F.lit(1)).alias("__k"), F.sum("n").alias("total")).withColumn(
         "depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("__k") / F.lit(LEAF)))).cast("int")).drop("__k")
     if g:
@@ -116,7 +117,8 @@ def cell_draws(cells: DataFrame, root: Sequence[str], keys: Sequence[str], roles
                group: Sequence[str] = (), b: int = config.BOOTSTRAP_B, seed: int = config.BOOTSTRAP_SEED,
                partitions: int | None = None) -> DataFrame:
     """Sums of redrawn cell counts.  The cells of each ``root`` are redrawn as Multinomial
-    (their total, their shares); ``cells`` holds ``root``, ``keys`` and ``n``, a row a cell.
+    (their total, their shares); ``cells`` holds ``root``, ``keys`` and ``n``, a row a cell,
+    and is read twice (write it first).
     ``roles``: for each output column the keys that must be equal; the column counts, for
     each class, the draws whose keys all hold the class.  Returns ``group, replicate,
     class`` and the roles' sums; a null key counts for no class."""
@@ -185,7 +187,7 @@ def _all_cells(cells: DataFrame, classes: Sequence[str] | None, run: str) -> Dat
         own = cells.select("run").distinct().withColumn("c", F.explode(F.array(*[F.lit(c) for c in classes])))
         cells = cells.where(F.col("y_true").isin(list(classes)) & F.col("y_pred").isin(list(classes)))
     empty = own.select("run", F.col("c").alias("y_true"), F.col("c").alias("y_pred"), F.lit(0).cast("long").alias("n"))
-    return cells.unionByName(empty).groupBy("run", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    return cut_lineage(cells.unionByName(empty).groupBy("run", "y_true", "y_pred").agg(F.sum("n").alias("n")))
 
 
 def confusion_bootstrap(cells: DataFrame, classes: Sequence[str] | None = None,
@@ -196,10 +198,13 @@ def confusion_bootstrap(cells: DataFrame, classes: Sequence[str] | None = None,
     ``run, replicate, class, precision, recall, f1`` plus ``class = '__macro__'``
     holding macro-F1 over all K classes in ``f1``.  Cells whose truth or prediction is
     null or no class are left out."""
-    full = _all_cells(cells, classes, run)
-    draws = cell_draws(full, ["run", "y_true"], ["y_true", "y_pred"],
-                       {"n_true": ["y_true"], "n_pred": ["y_pred"], "tp": ["y_true", "y_pred"]}, ["run"], b, seed,
-                       partitions)
+    return _confusion_draws(_all_cells(cells, classes, run), b, seed, partitions)
+
+
+def _confusion_draws(full: DataFrame, b: int, seed: int, partitions: int | None) -> DataFrame:
+    draws = cut_lineage(cell_draws(full, ["run", "y_true"], ["y_true", "y_pred"],
+                                   {"n_true": ["y_true"], "n_pred": ["y_pred"], "tp": ["y_true", "y_pred"]},
+                                   ["run"], b, seed, partitions))
     p, r, f = _prf("tp", "n_pred", "n_true")
     per = draws.select("run", "replicate", "class", p.alias("precision"), r.alias("recall"), f.alias("f1"))
     macro = per.groupBy("run", "replicate").agg(F.avg("f1").alias("f1")).select(
@@ -213,8 +218,8 @@ def bootstrap_report(cells: DataFrame, classes: Sequence[str] | None = None, b:
     """Summary of many runs: for each ``run`` and ``class`` the ``support``, and for
     precision, recall and f1 the point value, the 95 % percentile interval and its width;
     class ``__macro__`` holds macro-F1 and all rows as support (no precision or recall)."""
-    full = cut_lineage(_all_cells(cells, classes, run))
-    draws = cut_lineage(confusion_bootstrap(full, classes, b, seed, "run", partitions))
+    full = _all_cells(cells, classes, run)
+    draws = _confusion_draws(full, b, seed, partitions)
     names = ("precision", "recall", "f1")
     ci = draws.groupBy("run", "class").agg(*[e for m in names for e in (
         F.percentile(m, 0.025).alias(f"{m}_ci_lo"), F.percentile(m, 0.975).alias(f"{m}_ci_hi"))])
@@ -239,9 +244,9 @@ def percentile_ci(draws: DataFrame, value: str, by: Sequence[str], lo: float = 0
 
 def paired_cells(pairs: DataFrame, y_true: str = "y_true", pred_a: str = "pred_a",
                  pred_b: str = "pred_b") -> DataFrame:
-    """Contingency cells (truth, A, B) with counts — at most K³ rows."""
-    return pairs.groupBy(F.col(y_true).alias("y_true"), F.col(pred_a).alias("pred_a"),
-                         F.col(pred_b).alias("pred_b")).agg(F.count(F.lit(1)).alias("n"))
+    """Contingency cells (truth, A, B) with counts — at most K³ rows; written once."""
+    return cut_lineage(pairs.groupBy(F.col(y_true).alias("y_true"), F.col(pred_a).alias("pred_a"),
+                                     F.col(pred_b).alias("pred_b")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def paired_bootstrap(pairs: DataFrame, b: int = config.BOOTSTRAP_B,
@@ -252,7 +257,11 @@ def paired_bootstrap(pairs: DataFrame, b: int = config.BOOTSTRAP_B,
     replacement is Multinomial(n, cell shares) over the (truth, A, B) cells, so
     each replicate draws at most K^3 counts, not n indices.  Rows ``replicate, macro_f1_a,
     macro_f1_b, delta``.  A null prediction is no class; without rows there is no replicate."""
-    draws = cell_draws(paired_cells(pairs, y_true, pred_a, pred_b), [], ["y_true", "pred_a", "pred_b"],
+    return _paired_draws(paired_cells(pairs, y_true, pred_a, pred_b), b, seed, partitions)
+
+
+def _paired_draws(cells: DataFrame, b: int, seed: int, partitions: int | None) -> DataFrame:
+    draws = cell_draws(cells, [], ["y_true", "pred_a", "pred_b"],
                        {"n_true": ["y_true"], "n_a": ["pred_a"], "n_b": ["pred_b"],
                         "tp_a": ["y_true", "pred_a"], "tp_b": ["y_true", "pred_b"]}, [], b, seed, partitions)
 
@@ -277,11 +286,12 @@ def paired_comparison(pairs: DataFrame, b: int = config.BOOTSTRAP_B, seed: int =
                       y_true: str = "y_true", pred_a: str = "pred_a", pred_b: str = "pred_b") -> DataFrame:
     """The whole report of two runs, one row: points of both and their difference, the
     bootstrap of ``paired_report``, McNemar's counts and p."""
-    cells = cut_lineage(paired_cells(pairs, y_true, pred_a, pred_b))
-    a, b_ = (metrics.summary(cells, [], "y_true", x, weight="n").select(
-        F.col("macro_f1").alias(f"point_macro_f1_{x[-1]}")) for x in ("pred_a", "pred_b"))
-    rows = [a, b_, paired_report(paired_bootstrap(pairs, b, seed, None, y_true, pred_a, pred_b)),
-            mcnemar(pairs, y_true, pred_a, pred_b).select(*[F.col(c).alias(f"mcnemar_{c}") for c in ("b", "c", "n_discordant", "p_value")])]
+    cells = paired_cells(pairs, y_true, pred_a, pred_b)
+    points = [metrics.summary(cells, [], "y_true", x, weight="n").select(
+        F.col("macro_f1").alias(f"point_macro_f1_{x[-1]}")) for x in ("pred_a", "pred_b")]
+    test = mcnemar(cells, "y_true", "pred_a", "pred_b", "n")
+    rows = [*points, paired_report(_paired_draws(cells, b, seed, None)),
+            test.select(*[F.col(c).alias(f"mcnemar_{c}") for c in test.columns])]
     keyed = [r.withColumn("__one", F.lit(1)) for r in rows]  # one row each
     out = reduce(lambda x, y: x.join(y, "__one"), keyed).drop("__one")
     return out.withColumn("point_delta", F.col("point_macro_f1_a") - F.col("point_macro_f1_b"))
