@@ -21,7 +21,8 @@ the pages is one row after partial sums, joined back by a plain join that Spark
 splits.  The driver holds the model: ``SLOTS`` counts for each language of the texts,
 however many there are; a task holds those of the languages it meets.
 
-Edge cases: null or empty markup has no text evidence; no declaration, an unknown one
+Edge cases: null or empty markup has no text evidence; a comment, script or style that is
+not closed runs to the end; no declaration, an unknown one
 or none in the address is a value of its own; a null url has the empty host; ties go
 to the first language in order; repeated pages count each time; without any text of
 known language the result's language is null; empty tables give empty results.
@@ -112,9 +113,16 @@ class TextModel:
 
 
 def page_text(html: Column) -> Column:
-    """Markup without scripts, styles, comments and tags."""
-    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(plain, r"(?s)<[^>]*>|&#?\w+;", " ")
+    """Markup without scripts, styles, comments and tags.  A script, style or comment that
+    is not closed runs to the end, and a tag holds no ``<``, so that no stretch is looked
+    through twice."""
+    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(plain, r"<[^<>]*+>|&#?\w++;", " ")
+
+
+def declared_language(html: Column) -> Column:
+    """The language of the ``html`` tag in lower case, empty without one."""
+    return F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([a-z]+)", 1))
 
 
 def _posterior(logit: Column) -> Column:
@@ -143,7 +151,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     known, width = model.languages, len(model.languages)
     own = with_parts(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"),
                                   F.col(html_col).alias("__html")), "__url")
-    declared = F.lower(F.regexp_extract("__html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1))
+    declared = declared_language(F.col("__html"))
     label, segment = F.lower(F.substring_index("host", ".", -1)), F.lower(F.regexp_extract("path", r"^/([^/.]+)", 1))
     one_of = lambda c: F.when(c.isin(known), c)
     info = F.struct(F.col("__id").alias("id"), "host",
