@@ -12,13 +12,14 @@ signals), and the risk is divided by the number of signals, so that with confide
 rules.  Among certified cutoffs the one with the best gain is taken: rejected bad
 rows less ``good_cost`` times rejected good rows; without gain there is no rule.
 
-The counts behind the tests are grouped sums over all labelled rows (strata x
-signals x grid x 2 numbers), never a sample.
+The counts behind the tests are grouped sums over all distinct labelled texts (strata x
+signals x grid x 2 numbers), never a sample: copies of one text are no new evidence.
 
 Edge cases: a null or empty text has all counts 0 and fails the base rule; a null
 stratum is a stratum of its own; a stratum without labels has no cutoffs, so only
-the base rule applies; a row whose id repeats in the labels counts once for each
-label (ties do not change a cutoff: the mildest of equal gain wins); empty tables
+the base rule applies; equal texts count once a stratum and are good if any label says
+so (near copies still count one by one; ties do not change a cutoff: the mildest of
+equal gain wins); empty tables
 give empty results; columns of ``docs`` other than the named ones pass through
 ``features`` only if listed in ``keep``.
 """
@@ -116,10 +117,11 @@ def measure(column: pa.Array) -> pd.DataFrame:
 
 
 def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns and the counts of every whole text."""
+    """``keep`` columns, ``__digest`` (64 bits of the text) and the counts of every whole text."""
     cols = BASE_COUNTS + MORE_COUNTS
     own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-                      F.col(text_col).alias("t"))
+                      F.xxhash64(text_col).alias(f"k{len(keep)}"), F.col(text_col).alias("t"))
+    keep = [*keep, "__digest"]
 
     def run(batches):
         for b in batches:
@@ -185,12 +187,16 @@ def choose_cutoffs(f: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    delta: float = 0.05, good_cost: float = 20.0) -> DataFrame:
     """One row for each stratum and signal with a rule: ``stratum, signal, cutoff``.
     Calibrated on labelled rows that pass the base rule: the method's rules decide
-    only those."""
+    only those.  The bounds need independent rows, so a text counts once a stratum, however
+    many ids or labels hold it (``__digest`` and all its counts name it); it is
+    good if any of its labels is."""
     lab = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).alias("__good")) \
         .where("__good is not null")
     rows = f.where(~F.col("base_failed")).select(
-        F.col(id_col).alias("__id"), F.col(stratum).cast("string").alias("stratum"),
-        *[_level(s).alias(s) for s in SIGNALS]).join(lab, "__id")
+        F.col(id_col).alias("__id"), F.col(stratum).cast("string").alias("stratum"), "__digest",
+        *BASE_COUNTS, *MORE_COUNTS).join(lab, "__id") \
+        .groupBy("stratum", "__digest", *BASE_COUNTS, *MORE_COUNTS).agg(F.max("__good").alias("__good")) \
+        .select("stratum", "__good", *[_level(s).alias(s) for s in SIGNALS])
     counts = rows.select("stratum", "__good", F.explode(F.array(*[
         F.struct(F.lit(s).alias("signal"), F.col(s).alias("level")) for s in SIGNALS])).alias("x")) \
         .groupBy("stratum", "x.signal", "x.level").agg(
@@ -227,7 +233,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             stratum: str = "lang", **options) -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed``, ``rules``, ``kept``."""
     f = base_failed(features(docs, [id_col, stratum], text_col))
-    return judge(f, choose_cutoffs(f, labels, id_col, stratum, **options), stratum)
+    return judge(f, choose_cutoffs(f, labels, id_col, stratum, **options), stratum).drop("__digest")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
