@@ -10,15 +10,16 @@ the token budget.
 Scale: the histogram is a grouped count with partial sums.  A bucket's pieces are
 dealt by hash over as many lanes as its count asks for (about ``LANE`` pieces each),
 and batches are numbered within a lane, so no bucket, however common its length, is
-in one task; each lane leaves at most one batch unfilled.
+in one task; each lane leaves at most one batch unfilled.  The pieces (a few numbers
+each) are written once with a number for each row, which deals rows that share all else,
+such as rows without an id: lanes then hold on a retry of a task.
 
 The unit is a white-space word plus one closing mark by default; ``length`` may be
 any column expression.  ``token_lengths`` gives the number of ids that the token store
 writes for a text, its end id included, so that bounds and budget hold for token ids.
 
 Edge cases: null and empty texts have length 1 (the closing mark); equal lengths share
-a bucket; repeated rows and rows without an id are packed like others (their lane
-comes from all columns that are shown); fewer distinct lengths than buckets give
+a bucket; repeated rows and rows without an id are packed like others, over all lanes; fewer distinct lengths than buckets give
 fewer buckets; an empty table gives an empty result.
 """
 
@@ -98,7 +99,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
          max_len: int = 2048, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, bound, padding, lane, batch,
     slot``; (bound, lane, batch) names a batch of padded size ``<= budget``."""
-    cut = pieces(docs, id_col, word_length(text_col) if length is None else length, max_len)
+    cut = pieces(docs, id_col, word_length(text_col) if length is None else length, max_len) \
+        .withColumn("row", F.monotonically_increasing_id())
+    cut = Scratch(docs.sparkSession, "packing").put(cut, "pieces")
     histogram = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # <= max_len rows
     if not histogram:
         bounds, lanes = [max_len], {max_len: 1}
@@ -111,7 +114,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     bound = F.coalesce(*[F.when(F.col("length") <= b, F.lit(b)) for b in bounds], F.lit(bounds[-1]))
     n_lanes = F.coalesce(*[F.when(F.col("bound") == b, F.lit(k)) for b, k in lanes.items()], F.lit(1))
     dealt = cut.withColumn("bound", bound.cast("long")) \
-        .withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "length"), n_lanes).cast("long"))
+        .withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "length", "row"), n_lanes).cast("long"))
     numbered = dealt.select("*", (F.row_number().over(_lane()) - 1).cast("long").alias("i"))
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bound")))
     return numbered.select("doc_id", "piece", "start", "length", "bound",
@@ -122,4 +125,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
 def _lane():
     from pyspark.sql import Window
 
-    return Window.partitionBy("bound", "lane").orderBy("doc_id", "piece", "length")
+    return Window.partitionBy("bound", "lane").orderBy("doc_id", "piece", "length", "row")

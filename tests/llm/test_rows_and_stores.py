@@ -54,6 +54,35 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert quality.quality(docs.limit(0), lab).count() == 0
 
 
+def test_copies_are_no_evidence(spark):
+    """Cutoffs equal a brute-force walk over distinct texts: 2,000 copies certify nothing."""
+    def texts(n, copies):
+        good = [prose(i, 70) for i in range(n)]
+        junk = [prose(i, 70).replace(" ", "%%% ") for i in range(60)]
+        rows = [(i, t) for i, t in enumerate(good + good[:1] * copies + junk)]
+        lab = [(i, int(i < n + copies)) for i, _ in rows]
+        return (spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS + ", lang string"),
+                spark.createDataFrame(lab, "doc_id long, quality int"), good, junk)
+
+    def brute_cutoffs(good, junk, risk):
+        out = {}
+        for name, (num, den) in quality.SIGNALS.items():
+            level = [[sum(r[num] / r[den] >= c for c in quality.GRID[name]) if r[den] else 0
+                      for r in quality.measure(pa.array(sorted(set(t)))).to_dict("records")] for t in (good, junk)]
+            reach = [[sum(x > i for x in own) for i in range(len(quality.GRID[name]))] for own in level]
+            i = quality.walk(*reach, len(level[0]), risk / 7, 0.05 / 7, 20)
+            if i is not None:
+                out[name] = quality.GRID[name][i]
+        return out
+
+    for n, copies, risk in ((101, 2000, 0.3), (500, 40, 0.3)):
+        docs, lab, good, junk = texts(n, copies)
+        f = quality.base_failed(quality.features(docs, ["doc_id", "lang"]))
+        got = {r.signal: r.cutoff for r in quality.choose_cutoffs(f, lab, risk=risk).collect()}
+        assert got == brute_cutoffs(good, junk, risk)
+        assert bool(got) == (n == 500)
+
+
 def test_bounds_are_optimal():
     r = random.Random(2)
     for _ in range(30):
@@ -77,6 +106,9 @@ def test_packing_places_every_word(spark, monkeypatch):
     sizes = out.groupby(["bound", "lane", "batch"]).agg(n=("slot", "size"), slots=("slot", "nunique"))
     assert (sizes["n"] * sizes.index.get_level_values("bound") <= 256).all() and (sizes["n"] == sizes["slots"]).all()
     assert packing.pack(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, "a b c") for i in [None] * 300 + [7] * 300], DOCS)
+    lanes = packing.pack(same, max_len=64, buckets=5, budget=256).groupBy("bound", "lane").count().toPandas()
+    assert lanes["count"].sum() == 600 and lanes["count"].max() < 60 and len(lanes) > 20
 
 
 @pytest.fixture(scope="module")
@@ -197,11 +229,26 @@ def test_page_rank_equals_power_iteration(spark):
         own = [(s, d, w) if not kind else (d, s, w) for s, d, w in edges]
         out = {n: sum(w for s, _, w in own if s == n) for n in "abcd"}
         base = {n: 0.15 * seeds.get(n, (0, 0))[kind] for n in "abcd"}
-        rank = {n: seeds.get(n, (0, 0))[kind] for n in "abcd"}
-        for _ in range(url_trust.ROUNDS):
+        rank = base
+        for _ in range(200):
             rank = {n: base[n] + 0.85 * sum(rank[s] * w / out[s] for s, d, w in own if d == n) for n in "abcd"}
         for r in got.collect():
-            assert r[column] == pytest.approx(rank[r.host])
+            assert r[column] == pytest.approx(rank[r.host] / sum(rank.values()), rel=0.01)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Hosts that lead to a blocked one, however many links away; seeds' number is no scale."""
+    rows = [(i, f"http://h{i}.net/x", f"<a href='http://h{i + 1}.net/'>") for i in range(25)] \
+        + [(25, "http://h25.net/x", "<a href='http://bad.com/de/'>"), (26, "http://bad.com/de/", "")] \
+        + [(100 + i, f"http://t{i}.org/", f"<a href='http://good{i}.net/'>") for i in range(9)] \
+        + [(200 + i, f"http://good{i}.net/", "") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_trust.judge(pages, queries.URL_RULES + [(f"t{i}.org/", "allow") for i in range(9)])
+           .collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust > 0 for i in range(26))
+    assert all(got[200 + i].verdict == "allow" and got[200 + i].trust > 0 for i in range(9))
+    # a path without cycles: each host has 0.85 of the next one's distrust
+    assert all(got[i].distrust == pytest.approx(0.85 * got[i + 1].distrust) for i in range(25))
 
 
 def test_language_fusion(spark):
