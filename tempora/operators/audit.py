@@ -32,15 +32,23 @@ def scan(values: DataFrame, vocab: Mapping[str, Sequence[str]] | DataFrame,
     """One row per hit: ``id, field, value (<= value_chars), match_type,
     matched_term``.  ``values`` holds one row per (id, field, value occurrence); a term
     counts once per value, whatever its letter case and however often it is listed.
-    An equi-join at every vocabulary size: AQE broadcasts a small vocabulary."""
-    vdf = vocab if isinstance(vocab, DataFrame) else vocabulary_frame(values.sparkSession, vocab)
+    A vocabulary given as a mapping lies on the driver already: segments are looked up
+    in it where the value is, so that only hits leave a task.  A table of terms is
+    joined.  Either way the stored copy is cut before a row becomes one row a segment."""
+    segs = segments(value_col)
+    if isinstance(vocab, DataFrame):
+        vdf = vocab
+    else:
+        vdf = vocabulary_frame(values.sparkSession, vocab)
+        known = sorted({t.lower() for terms in vocab.values() for t in terms})
+        segs = F.filter(segs, lambda t: t.isin(known))
     vdf = vdf.select(F.lower("term").alias("term"), "match_type").distinct()
-    segs = values.select(id_col, field_col, value_col,
-                         F.explode_outer(F.array_distinct(segments(value_col))).alias("term")) \
-        .where(F.col("term").isNotNull())
-    hits = segs.join(vdf, "term").select(
+    found = values.select(id_col, field_col, F.substring(value_col, 1, value_chars).alias(value_col),
+                          F.explode_outer(segs).alias("term")).where(F.col("term").isNotNull())
+    if not isinstance(vocab, DataFrame):
+        vdf = F.broadcast(vdf)
+    return found.join(vdf, "term").select(
         id_col, field_col, value_col, "match_type", F.col("term").alias("matched_term"))
-    return hits.withColumn(value_col, F.substring(value_col, 1, value_chars))
 
 
 def report_values(reports: DataFrame, id_col: str = "sample_id", report_col: str = "report",
