@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .text import mix
 from .tokens import as_texts, encoder
 
@@ -92,8 +93,8 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id_col: s
                      "shard int, block int, payload binary, ids array<long>, lengths array<int>") \
         .write.parquet(f"{root}/shards")
     entries = places(spark, root)
-    keys = entries.where("id is not null").groupBy("id").agg(F.min(F.struct("start", "shard", "block", "offset", "length"))
-                                                             .alias("e")).select("id", "e.*")
+    keys = cut_lineage(entries.where("id is not null").groupBy("id").agg(
+        F.min(F.struct("start", "shard", "block", "offset", "length")).alias("e")).select("id", "e.*"))
     n_buckets = max(1, -(-keys.count() // BUCKET))
     spark.createDataFrame([(n_buckets, width)], "buckets long, width int").write.parquet(f"{root}/meta")
     keys.withColumn("bucket", _bucket("id", n_buckets)).repartitionByRange("bucket") \
@@ -179,28 +180,34 @@ def _starts(spark: SparkSession, root: str) -> DataFrame:
 def _rows(with_crc: bool):
     def run(batches):
         for b in batches:
-            for shard, block, start, payload, ids, lengths in zip(*(c.to_pylist() for c in b.columns)):
-                n = np.array(lengths, np.int64)
+            for i in range(b.num_rows):  # one block at a time
+                shard, block, payload, ids, lengths = (c[i] for c in b.columns)
+                n = lengths.values.to_numpy().astype(np.int64)
                 at = np.concatenate([[0], np.cumsum(n)])
-                cols = [np.full(len(n), shard, np.int32), np.full(len(n), block, np.int32),
-                        at[:-1].astype(np.int32), n.astype(np.int32), at[:-1] + start]
+                cols = [np.full(len(n), shard.as_py(), np.int32), np.full(len(n), block.as_py(), np.int32),
+                        at[:-1].astype(np.int32), n.astype(np.int32)]
                 if with_crc:
-                    width = len(payload) // max(1, int(at[-1]))
-                    raw = np.frombuffer(payload, f"<u{width}").astype("<u4")
+                    held = payload.as_buffer()
+                    width = held.size // max(1, int(at[-1]))
+                    raw = np.frombuffer(held, f"<u{width}").astype("<u4")
                     cols.append(np.array([zlib.crc32(raw[a:z]) for a, z in zip(at[:-1], at[1:])], np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *map(pa.array, cols)],
-                    names=["id", "shard", "block", "offset", "length", "start", *["crc"] * with_crc])
+                    [ids.values, *map(pa.array, cols)],
+                    names=["id", "shard", "block", "offset", "length", *["crc"] * with_crc])
     return run
 
 
 def places(spark: SparkSession, root: str, crc: bool = False) -> DataFrame:
     """Per stored document: ``id, shard, block, offset, length, start`` (and ``crc`` of
-    its ids as unsigned 32-bit integers), read from the shard files."""
-    shards = spark.read.parquet(f"{root}/shards").join(_starts(spark, root), ["shard", "block"])
+    its ids as unsigned 32-bit integers), read from the shard files.  Payloads are read
+    where they lie; only the documents' short rows meet the starts of their blocks."""
     payload = F.col("payload") if crc else F.lit(b"").alias("payload")
-    kind = "id long, shard int, block int, offset int, length int, start long" + ", crc long" * crc
-    return shards.select("shard", "block", "block_start", payload, "ids", "lengths").mapInArrow(_rows(crc), kind)
+    kind = "id long, shard int, block int, offset int, length int" + ", crc long" * crc
+    rows = spark.read.parquet(f"{root}/shards").select("shard", "block", payload, "ids", "lengths") \
+        .mapInArrow(_rows(crc), kind)
+    return rows.join(_starts(spark, root), ["shard", "block"]).select(
+        "id", "shard", "block", "offset", "length", (F.col("block_start") + F.col("offset")).alias("start"),
+        *["crc"] * crc)
 
 
 def _n_buckets(spark: SparkSession, root: str) -> tuple[int, int]:

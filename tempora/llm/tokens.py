@@ -18,8 +18,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHE = 1_000_000
-#: a space beside white space
-_BLANKS = re.compile(r" \s|\s ")
+#: a space beside white space (looked for at spaces only)
+_BLANKS = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 @lru_cache(maxsize=2)
@@ -54,12 +54,18 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words.  A space opens each word, so the tokens of all of them in
-        one string fall apart again at the spaces."""
+        one string fall apart again at the spaces.  A token after a space is a word of its
+        own, and may be known from texts before."""
         tokens = self.tokens(" " + " ".join(words))
-        known = {}
+        known, after = {}, self.after_space
         for t in set(tokens):
-            chars = t.encode().decode("latin-1").translate(self.as_chars)
-            known[t] = array("I", [x.id for x in self.model.tokenize(chars)]).tobytes()
+            ids = after.get(t[1:]) if t[0] == " " else None
+            if ids is None:
+                chars = t.encode().decode("latin-1").translate(self.as_chars)
+                ids = array("I", [x.id for x in self.model.tokenize(chars)]).tobytes()
+                if t[0] == " ":
+                    after[t[1:]] = ids
+            known[t] = ids
         i = 0
         for w in words:
             ids, size = known[tokens[i]], len(tokens[i])
@@ -68,7 +74,7 @@ class Encoder:
                 ids += known[tokens[i]]
                 size += len(tokens[i])
                 i += 1
-            self.after_space[w] = ids
+            after[w] = ids
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
